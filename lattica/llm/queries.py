@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, sharding, suffix_dedup, url_filter
+from . import embedding_dedup, language_id, mixing, nearest, packing, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op5_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.DEFAULT_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -86,6 +94,8 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_mixing": op3_mixing,
+    "op5_small_world_search": op5_small_world_search,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
