@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, nearest, packing, sharding, suffix_dedup, url_filter
+from . import bag_minhash, embedding_dedup, language_id, mixing, nearest, packing, passage_dedup, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,18 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=5, threshold=0.8)
+
+
 def op5_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -94,7 +102,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_mixing": op3_mixing,
+    "op4_bag_minhash": op4_bag_minhash,
     "op5_small_world_search": op5_small_world_search,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
