@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_of, text_key
+from .common import partitions_of, table_cut, text_key
 
 #: A perfect difference set, i.e. every residue modulo 31 is a difference of two of these.
 COVER, MODULUS = (0, 1, 3, 8, 12, 18), 31
@@ -197,7 +197,7 @@ def _find_anchors(length: int):
                     if len(h):
                         own = batch.slice(row, 1)
                         ids = [own.column(k).take(pa.array(np.zeros(len(h), np.int64))) for k in (0, 1)]
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array(h.view(np.int64)), *map(pa.array, (p, s, n))], ["key", "doc", "anchor", "at", "start", "n"])
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(h.view(np.int64)), *[pa.array(c.astype(np.int32)) for c in (p, s, n)]], ["key", "doc", "anchor", "at", "start", "n"])
 
     return run
 
@@ -304,6 +304,21 @@ def _apply(length: int):
     return run
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    return docs.select(text_key(raw).alias("key"), F.col("doc_id").alias("doc"), raw.alias("data"))
+
+
+def _with_text(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of `known` (key, doc, ...) with the text's bytes.
+
+    Joined by key alone, with the document compared afterwards: then all such joins of one query read
+    one and the same exchange of the texts.
+    """
+    known = known.withColumnsRenamed({"key": "k", "doc": "d"})
+    return rows.join(known, F.col("key") == F.col("k")).where(F.nullif(F.col("doc"), F.col("d")).isNull())
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> tuple[DataFrame, DataFrame]:
     """Two tables over distinct texts: (key, doc, n) of all of them, with the smallest doc_id that
     carries the text and how many rows do, and the byte spans (key, a, b) that repeat elsewhere.
@@ -311,18 +326,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> tuple
     hot: an anchor that occurs more often than this is split into parts of about that many texts, which
     are sorted apart; the strings of such anchors are also counted across the parts by their digests.
     """
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = docs.select(text_key(raw).alias("key"), F.col("doc_id").alias("doc"), raw.alias("data"))
+    rows = _rows(docs)
     texts = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     kind = dict(docs.dtypes)["doc_id"]
-    runs = rows.mapInArrow(_find_anchors(length), f"key binary, doc {kind}, anchor long, at long, start long, n long")
-    runs = cut(runs.groupBy("anchor", "key", "at", "start", "n").agg(F.min("doc").alias("doc")))
+    runs = table_cut(rows.mapInArrow(_find_anchors(length), f"key binary, doc {kind}, anchor long, at int, start int, n int"))
+    # copies of a text repeat its anchors: one carrier of each text goes on, and anchors are counted again
+    shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    carrier = texts.select(F.col("key").alias("k"), F.col("doc").alias("d"))
+    runs = runs.join(shared, "anchor").join(carrier, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
+    runs = table_cut(runs)
     counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     salt = F.pmod(F.xxhash64("key", "start"), F.ceil(F.col("times") / hot)).alias("salt")
     again = runs.join(counts, "anchor").withColumn("salt", F.when(F.col("times") > hot, salt).otherwise(F.lit(0)))
-    again = again.groupBy("key", "doc").agg(F.collect_list(F.struct("anchor", "salt", "at", "start", "n")).alias("runs"))
-    again = again.withColumnsRenamed({"key": "k", "doc": "d"})
-    joined = rows.join(again, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d"))).select("key", "data", "runs")
+    again = again.groupBy("key", "doc").agg(F.collect_set(F.struct("anchor", "salt", "at", "start", "n")).alias("runs"))
+    joined = _with_text(rows, again).select("key", "data", "runs")
     kind = "key binary, anchor long, salt long, start long, before long, context binary"
     contexts = joined.mapInArrow(_cut_contexts(length), kind)
     dealt = contexts.repartition(partitions_of(docs) * 2, "anchor", "salt").sortWithinPartitions("anchor", "salt")
@@ -352,8 +369,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 8192, texts: b
     rows = docs.select("doc_id", text_key(raw).alias("key"), raw.alias("data"))
     many = carried.where("n > 1").select(F.col("key").alias("k"), F.lit(True).alias("copied"))
     single = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    single = single.join(carried.where("n = 1").select("key"), "key", "left_semi").withColumnRenamed("key", "k")
-    done = rows.join(single, F.col("key") == F.col("k")).select("key", "data", "s").mapInArrow(
+    single = single.join(carried.where("n = 1").select("key", "doc"), "key")
+    done = _with_text(_rows(docs), single).select("key", "data", "s").mapInArrow(
         _apply(length), "key binary, removed long, spans long, sha string, kept binary"
     )
     done = done.withColumnRenamed("key", "d") if texts else done.drop("kept").withColumnRenamed("key", "d")
