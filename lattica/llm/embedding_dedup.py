@@ -67,13 +67,27 @@ def fit(sample: np.ndarray, lists: int, subspaces: int = 16, entries: int = 64)
     return Quantizer(coarse, [_kmeans(np.ascontiguousarray(rest[:, p]), entries, 6) for p in parts])
 
 
-def _deal(sent, reach: float):
+def _deal(sent, reach: float, others: int = 12):
     """Each vector to its own list as a member, and to all lists that may hold a link as a query.
 
-    With x and a linked y at most `reach` apart, y lies nearer to centre c than to x's own centre c1
-    only if d(x,c)^2 - d(x,c1)^2 <= 2 * reach * |c - c1|: these probes are sufficient for every link.
+    With x and a linked y at most `reach` apart, y lies nearer to centre c than to any other centre c'
+    only if d(x,c)^2 - d(x,c')^2 <= 2 * reach * |c - c'|; this is asked of the `others` centres nearest to
+    x, so the probes are sufficient for every link. Of two lists the one with the higher number asks.
+    role: 0 member, 1 query of its own list, 2 query of another list.
     """
 
+    def probes(x: np.ndarray, q: Quantizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, d = q.nearest(x)
+        apart = np.sqrt(np.maximum((q.coarse**2).sum(1)[:, None] - 2 * q.coarse @ q.coarse.T + (q.coarse**2).sum(1), 0))
+        n = min(others, d.shape[1])
+        near = np.argpartition(d, n - 1, axis=1)[:, :n]
+        probe = np.arange(d.shape[1])[None, :] <= own[:, None]
+        for k in range(n):
+            c = near[:, k]
+            probe &= d - d[np.arange(len(x)), c][:, None] <= 2 * reach * apart[c] + 1e-9
+        probe[np.arange(len(x)), own] = True
+        return own, *np.nonzero(probe)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizers = sent.value
         for batch in batches:
@@ -83,15 +97,13 @@ def _deal(sent, reach: float):
                 x = matrix(part.column("vector"))
                 x = x / np.sqrt((x * x).sum(1))[:, None]
                 q = quantizers[int(dim)]
-                own, d = q.nearest(x)
-                gap = np.sqrt(np.maximum(((q.coarse[own][:, None] - q.coarse[None]) ** 2).sum(2), 0))
-                probe = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * gap + 1e-9
-                row, to = np.nonzero(probe)
-                for query, rows, lists in ((False, np.arange(len(x)), own), (True, row, to)):
+                own, row, to = probes(x, q)
+                asks = np.where(to == own[row], 1, 2).astype(np.int8)
+                for role, rows, lists in ((np.zeros(len(x), np.int8), np.arange(len(x)), own), (asks, row, to)):
                     some = part.take(pa.array(rows))
                     cols = [some.column(c) for c in ("label", "dim", "id", "n", "vector")]
-                    cols += [pa.array(lists.astype(np.int32)), pa.array(np.full(len(rows), query))]
-                    yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "id", "n", "vector", "list", "query"])
+                    cols += [pa.array(lists.astype(np.int32)), pa.array(role)]
+                    yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "id", "n", "vector", "list", "role"])
 
     return run
 
@@ -115,39 +127,43 @@ def _compare(sent, threshold: float, reach: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        role = table.column("role").to_numpy()
         ids, copies = table.column("id").to_numpy(), table.column("n").to_numpy()
         x = matrix(table.column("vector"))
         unit = x / np.sqrt((x * x).sum(1))[:, None]
         q = sent.value[x.shape[1]]
         rest = unit - q.coarse[table.column("list")[0].as_py()]
-        members, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        members, queries = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
         if not len(members) or not len(queries):
             return schema.empty_table()
         codes, error = q.encode(rest[members])
         number = {int(i): k for k, i in enumerate(dict.fromkeys(np.concatenate([ids[members], ids[queries]]).tolist()))}
         node = np.array([number[int(i)] for i in ids])
-        pairs, links = [], np.zeros(len(queries), np.int64)
-        books = np.arange(len(q.books))
+        pairs, links, back = [], np.zeros(len(queries), np.int64), np.zeros(len(members), np.int64)
+        limit = ((reach + error + 1e-6) ** 2 + 1e-5).astype(np.float32)
         for at in range(0, len(queries), 64):
             some = queries[at : at + 64]
-            tables = q.tables(rest[some])
-            for k, (i, own) in enumerate(zip(some, tables)):
-                near = np.sqrt(own[books, codes].sum(1))
-                hit = members[near <= reach + error + 1e-9]
-                hit = hit[unit[hit] @ unit[i] >= threshold - 1e-9]
-                if len(hit):
-                    cosine = (x[hit] * x[i]).sum(1) / (np.sqrt((x[hit] ** 2).sum(1)) * np.sqrt((x[i] ** 2).sum()))
-                    hit = hit[(cosine >= threshold) & (ids[hit] != ids[i])]
-                    links[at + k] = copies[hit].sum()
-                    pairs.append((np.full(len(hit), node[i]), node[hit]))
+            tables = q.tables(rest[some]).astype(np.float32)
+            near = np.zeros((len(some), len(members)), np.float32)
+            for book in range(len(q.books)):
+                near += tables[:, book].take(codes[:, book], axis=1)
+            ask, hit = np.nonzero(near <= limit)
+            u, v = some[ask], members[hit]
+            cosine = (x[u] * x[v]).sum(1) / (np.sqrt((x[u] ** 2).sum(1)) * np.sqrt((x[v] ** 2).sum(1)))
+            linked = (cosine >= threshold) & (ids[u] != ids[v])
+            ask, hit, u, v = ask[linked], hit[linked], u[linked], v[linked]
+            np.add.at(links, at + ask, copies[v])
+            cross = role[u] == 2  # the member does not ask back
+            np.add.at(back, hit[cross], copies[u[cross]])
+            pairs.append((node[u], node[v]))
         root, name = _roots(len(number), pairs), np.array(list(number))
         # a star for each component within the group in place of all its links
         least = np.full(len(name), np.iinfo(np.int64).max)
         np.minimum.at(least, root, name)
         some = np.flatnonzero(least[root] != name)
-        a, b = [name[some], ids[queries]], [least[root][some], ids[queries]]
-        n = [np.zeros(len(some), np.int64), links]
+        asked, met = np.flatnonzero(links), np.flatnonzero(back)
+        a, b = [name[some], ids[queries[asked]], ids[members[met]]], [least[root][some], ids[queries[asked]], ids[members[met]]]
+        n = [np.zeros(len(some), np.int64), links[asked], back[met]]
         return pa.table([np.concatenate(a), np.concatenate(b), np.concatenate(n)], schema=schema)
 
     return run
@@ -171,7 +187,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, sample: int = 2
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", able.alias("able"))
     rows = rows.select("*", *vector_keys(F.col("label"), v))
     classes = rows.where("able").groupBy("k1", "k2").agg(
-        F.first("label").alias("label"), F.first("embedding").cast("array<double>").alias("vector"),
+        F.first("label").alias("label"), F.first("embedding").alias("vector"),
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"),
     )
     classes = cut(classes.withColumn("dim", F.size("vector")))
@@ -185,20 +201,22 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, sample: int = 2
         quantizers[dim] = fit(x / np.sqrt((x * x).sum(1))[:, None], max(1, min(1024, n // 1000)))
     sent = spark.sparkContext.broadcast(quantizers)  # bounded by the sample
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
-    schema = "label string, dim int, id long, n long, vector array<double>, list int, query boolean"
+    kind = dict(vectors.dtypes)["embedding"]
+    schema = f"label string, dim int, id long, n long, vector {kind}, list int, role tinyint"
     dealt = classes.select("label", "dim", "id", "n", "vector").mapInArrow(_deal(sent, reach), schema)
     keys = ["label", "dim", "list"]
-    sizes = dealt.groupBy(*keys).agg(F.count_if(~F.col("query")).alias("m"), F.count_if("query").alias("q")).where("m > 0")
+    sizes = dealt.groupBy(*keys).agg(F.count_if(F.col("role") == 0).alias("m"), F.count_if(F.col("role") > 0).alias("q")).where("m > 0")
     parts = [F.ceil(F.col(c) / group).cast("int") for c in ("m", "q")]
     sizes = cut(sizes.select(*keys, parts[0].alias("mb"), parts[1].alias("qb")))
     cells = dealt.join(sizes, keys)
-    own = F.when(F.col("query"), F.pmod(F.xxhash64("id"), "qb")).otherwise(F.pmod(F.xxhash64("id"), "mb"))
-    times = F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb"))
+    query = F.col("role") > 0
+    own = F.when(query, F.pmod(F.xxhash64("id"), "qb")).otherwise(F.pmod(F.xxhash64("id"), "mb"))
+    times = F.when(query, F.col("mb")).otherwise(F.col("qb"))
     cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), times - 1)))
-    block = F.when(F.col("query"), F.struct(F.col("other").cast("long").alias("m"), F.col("own").alias("q"))).otherwise(
+    block = F.when(query, F.struct(F.col("other").cast("long").alias("m"), F.col("own").alias("q"))).otherwise(
         F.struct(F.col("own").alias("m"), F.col("other").cast("long").alias("q"))
     )
-    cells = cells.withColumn("block", block).select(*keys, "id", "n", "vector", "query", "block")
+    cells = cells.withColumn("block", block).select(*keys, "id", "n", "vector", "role", "block")
     found = cut(cells.groupBy(*keys, "block").applyInArrow(_compare(sent, threshold, reach), "a long, b long, links long"))
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     parts = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "id")
