@@ -169,9 +169,9 @@ def build_index(vectors: DataFrame, k: int = 10, shard_rows: int = 4096) -> Data
     """One row per shard of about `shard_rows` different vectors: the vectors and their graph's arrays.
 
     Equal vectors are one node that carries its k + 1 smallest vec_ids, so copies can't crowd a graph.
-    Every vector is indexed. The table is written down (checkpoint) for the searches that follow.
+    Every vector with an id is indexed. The table is written down (checkpoint) for the searches that follow.
     """
-    rows = vectors.where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.select("*", *vector_keys(F.col("vector")))
     # Spark limits ranks before the shuffle too, so a hot vector sends k + 1 ids a task
     order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("vec_id").asc_nulls_last()))
@@ -245,9 +245,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = 160,
 def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, width: int = 160) -> DataFrame:
     """Search the rows of `vectors` whose vec_id is divisible by `every` against all other rows.
 
-    Defined cases: vectors that are null, zero or hold null or non-finite components take no part; nor
-    do queries with a null vec_id, and candidates without one come last among equals; a query is matched
-    with vectors of its own length; copies of its vector under other rows are found at distance 0;
+    Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do
+    rows with a null vec_id; a query is matched with vectors of its own length; copies of its vector under other rows are found at distance 0;
     repeated query rows are answered once; an empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select("vec_id", "embedding")

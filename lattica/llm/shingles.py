@@ -55,7 +55,7 @@ def rolling(hashes: np.ndarray, counts: np.ndarray, k: int, short: bool = True)
         full = np.zeros(n, np.uint64)
         for j in range(k):
             part = np.zeros(n, np.uint64)
-            part[: n - j] = hashes[j:]
+            part[: max(0, n - j)] = hashes[j:]
             full = full * _MULT + part
         ok = place + k <= counts[text]
         out_h, out_t, out_p = [mix64(full[ok])], [text[ok]], [place[ok]]

@@ -1,0 +1,123 @@
+"""Vector and URL operators against brute force, and odd rows."""
+
+import random
+
+import numpy as np
+import pytest
+
+from lattica.llm import embedding_dedup, nearest, url_filter
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id long, dim int").select("vec_id", "embedding", "label", "id", "dim")
+
+
+def clustered(seed, n, dim=16, copies=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    for k in range(0, n - 4, 5):
+        x[k + 1] = x[k] + rng.normal(size=dim) * 0.05
+        x[k + 2] = x[k + 1] + rng.normal(size=dim) * 0.05
+    x = x.astype(np.float32)
+    for k in range(copies):
+        x[n - 1 - k] = x[0]
+    return x
+
+
+ODD = [(1001, None, 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] * 16, 1), (1004, [float("inf")] + [1.0] * 15, 1), (1005, [None] + [1.0] * 15, 1),
+       (1006, [1.0] * 16, None), (None, [1.0] * 16, 1), (1007, [1.0, 2.0], 1), (1007, [1.0, 2.0], 1), (1100, [1.0, 2.0], 1)]
+
+
+def test_near_embeddings_equal_brute_force(spark):
+    x = clustered(1, 600, copies=4)
+    rows = [(n, v.tolist(), n % 3 if n % 5 else 0, 0, 0) for n, v in enumerate(x)]
+    label = [r[2] for r in rows]
+    for k in range(0, 595, 5):
+        for m in (1, 2):
+            label[k + m] = label[k]
+    rows = [(r[0], r[1], label[r[0]], 0, 0) for r in rows]
+    d = x.astype(np.float64)
+    cos = d @ d.T / np.sqrt((d * d).sum(1)[:, None] * (d * d).sum(1))
+    same = (cos >= 0.98) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(600, dtype=bool)
+    root = np.arange(600)
+    while True:
+        new = np.array([min(root[i], *(root[same[i]] if same[i].any() else [root[i]])) for i in range(600)])
+        if (new == root).all():
+            break
+        root = new
+    for group in (4096, 7):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_embeddings(vectors(spark, rows), group=group).collect()}
+        assert [got[n]["n_links"] for n in range(600)] == same.sum(1).tolist()
+        assert [got[n]["component_id"] for n in range(600)] == root.tolist()
+        assert all(got[n]["kept"] == (root[n] == n) for n in range(600))
+
+
+def test_near_embeddings_odd_rows(spark):
+    rows = [(n, v, label, 0, 0) for n, v, label in ODD]
+    got = embedding_dedup.near_embeddings(vectors(spark, rows)).collect()
+    assert len(got) == 10
+    by = {r["vec_id"]: r for r in got}
+    assert all(by[n]["n_links"] == 0 and by[n]["component_id"] == n for n in range(1001, 1007))
+    assert by[1100]["component_id"] == 1007 and by[1100]["n_links"] == 2
+    assert embedding_dedup.near_embeddings(vectors(spark, rows).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 300])
+def test_search_recall(spark, shard_rows):
+    x = clustered(2, 2000, copies=15)
+    rows = [(n, v.tolist(), 0, 0, 0) for n, v in enumerate(x)]
+    got = nearest.nearest_neighbours(vectors(spark, rows), k=10, shard_rows=shard_rows).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(per) == list(range(0, 2000, 100))
+    d, found = x.astype(np.float64), 0
+    for q, own in per.items():
+        own.sort()
+        assert [k for k, *_ in own] == list(range(1, 11))
+        dist = np.sqrt(((d - d[q]) ** 2).sum(1))
+        assert all(abs(s - dist[v]) == 0 and v != q for _, v, s in own)
+        assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own)
+        dist[q] = np.inf
+        want = np.lexsort((np.arange(2000), dist))[:10]
+        found += len({v for _, v, _ in own} & set(want.tolist()))
+    assert found / (10 * len(per)) >= 0.9
+    assert [v for _, v, _ in sorted(per[0])] == list(range(1985, 1995))  # copies at distance 0, smaller ids first
+
+
+def test_search_odd_rows(spark):
+    rows = [(n, v, label, 0, 0) for n, v, label in ODD] + [(1200, [1.0] * 16, 1, 0, 0)]
+    got = nearest.nearest_neighbours(vectors(spark, rows), k=10).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(1100, 1007), (1200, 1006)}
+    assert nearest.nearest_neighbours(vectors(spark, rows).where("false")).count() == 0
+    few = nearest.nearest_neighbours(vectors(spark, [(100, [1.0], 1, 0, 0), (1, [3.0], 1, 0, 0)])).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(100, 1, 1, 2.0)]
+
+
+def plain_verdict(url):
+    """The rules applied one by one."""
+    host, path = url_filter.split_url(url)
+    best = None
+    for r in url_filter.DEFAULT_RULES:
+        h, _, p = r.name.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r.name) > len(best.name)):
+            best = r
+    return host, path, best and best.name, best.verdict if best else "allow"
+
+
+def test_urls_equal_plain_rules(spark):
+    rng = random.Random(3)
+    hosts = ["com", "a.com", "x.example.com", "EXAMPLE.com", "b.net", "example.net", "notexample.net", "org", "exorg", "c.org:80", "com.evil", "ééé.com", "com\n"]
+    paths = ["/en/", "/en/7", "/en/71?x#y", "/en", "/de/8", "/de/81/en/", "/es/", "/ES/", "", "?en", "#/en/", "//en/", "/en/\n7"]
+    urls = [None, "", "no scheme", "://", "http://", "x://com/en/", "http://com/en/", "a://b://com/en/"]
+    urls += [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
+    pages = spark.createDataFrame([(n, u, "x", "y") for n, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages).collect()}
+    assert got == {n: plain_verdict(u) for n, u in enumerate(urls)}
+    assert url_filter.judge_urls(pages.where("false")).count() == 0
+
+
+def test_rules_are_filed_under_their_rarest_token():
+    rules = [url_filter.host_path_rule("example.com", "/a/b/c", "block"), url_filter.UrlRule("any", ".*", "allow", (), 0)]
+    index, rest = url_filter.build_index(rules, {"example": 5, "com": 50, "a": 1, "b": 9})
+    assert list(index) == ["a"] and rest == [rules[1]]
