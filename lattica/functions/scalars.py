@@ -186,16 +186,34 @@ def next_scale_label(scale: Column) -> Column:
 
 
 def surface_label(direction: Column, type_: Column) -> Column:
-    """Heading of a relation in a component's own view."""
-    tells = type_ == "informs"
-    return F.when(direction == "outgoing", F.when(tells, "Tells").otherwise("Needs")).otherwise(
-        F.when(tells, "Told by").otherwise("Needed by")
-    )
-
-
-def package_of(specifier: Column, builtins: tuple[str, ...] = ("fs", "path", "os", "url", "util", "crypto")) -> Column:
-    """The package that an import specifier belongs to; null for relative ones, 'runtime' for built-ins."""
-    bare = F.regexp_replace(specifier, "^[a-z]+:", "")
-    name = F.regexp_extract(bare, r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
-    own = F.startswith(specifier, F.lit(".")) | F.startswith(specifier, F.lit("/"))
-    return F.when(own, None).when(F.rlike(specifier, F.lit("^[a-z]+:")) | name.isin(*builtins), "runtime").otherwise(name)
+    """Heading of a relation in a component's own view, by its type and direction."""
+    out = direction == "outgoing"
+    pairs = ((type_ == "informs", "Tells", "Told by"), (type_.isin("imports", "requires", "depends-on"), "Needs", "Needed by"))
+    label = F.when(out, "Relates to").otherwise("Related from")
+    for hit, forth, back in pairs:
+        label = F.when(hit, F.when(out, forth).otherwise(back)).otherwise(label)
+    return label
+
+
+#: A package or scope name, and modules of the runtime that are imported without a prefix.
+PACKAGE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._~-]*$"
+BARE_BUILTINS = ("assert", "buffer", "child_process", "crypto", "events", "fs", "fs/promises", "http", "https", "net", "os", "path", "process", "stream", "timers", "url", "util", "worker_threads", "zlib")
+
+
+def package_of(specifier: Column, builtins: tuple[str, ...] = BARE_BUILTINS) -> Column:
+    """The package that an import specifier belongs to: scope and name, name, or prefixed runtime module.
+
+    Null for relative, absolute, internal (#) and malformed specifiers.
+    """
+    prefix = F.regexp_extract(specifier, "^(node:|bun:)", 1)
+    steps = F.split(F.substring(specifier, F.char_length(prefix) + 1, F.lit(1 << 20)), "/")
+    first = F.get(steps, F.lit(0))
+    scoped = (prefix == "") & F.startswith(specifier, F.lit("@"))
+    scope, inner = F.substring(first, 2, 512), F.coalesce(F.get(steps, F.lit(1)), F.lit(""))
+    named = F.when(scoped, scope.rlike(PACKAGE_NAME) & inner.rlike(PACKAGE_NAME)).otherwise(first.rlike(PACKAGE_NAME))
+    fine = (F.char_length(specifier) <= 512) & ~specifier.rlike(r"[\\\x00-\x1f\x7f]|^[./#]") & F.forall(steps, lambda s: ~s.isin("", ".", ".."))
+    name = (
+        F.when(prefix != "", F.concat(prefix, first)).when(specifier.isin(*builtins), F.concat(F.lit("node:"), first))
+        .when(scoped, F.concat_ws("/", first, inner)).otherwise(first)
+    )
+    return F.when(fine & named & (F.char_length(name) <= 256), name)

@@ -139,3 +139,15 @@ def transact(graph: GraphFrames, change, invariants=(), expected_generation: int
         return "rejected", graph, [e.code]
     found = [(r["id"], r["problem"]) for check in invariants for r in check(proposed).select("id", "problem").limit(1000).collect()]
     return ("rejected", graph, found) if found else ("committed", proposed, [])
+
+
+def with_retries(read, change, write, attempts: int = 5):
+    """Read the newest snapshot, change it and write it, again if another writer was faster; returns the written one."""
+    for left in range(attempts - 1, -1, -1):
+        proposed = change(read())
+        try:
+            write(proposed)
+            return proposed
+        except GraphQueryError as e:
+            if e.code != "stale-generation" or not left:
+                raise

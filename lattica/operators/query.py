@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,3 +164,16 @@ def export_blueprint(graph: GraphFrames, bindings: DataFrame | None = None, page
     out = out.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("relation"), "type", "target"))).alias("relations"))
     full = own.join(out, "id", "left").withColumn("relations", F.coalesce("relations", F.array().cast(out.schema["relations"].dataType)))
     return full if bindings is None else with_evidence(graph, full, bindings)
+
+
+def export_pages(graph: GraphFrames, bindings: DataFrame, limit: int = 25, most_pages: int = 100) -> Iterator[Page]:
+    """The whole export in pages of one generation; raises export-bound-exceeded if `most_pages` don't hold it."""
+    fingerprint, cursor = graph.fingerprint(), None
+    full = export_blueprint(graph, bindings)
+    for _ in range(most_pages):
+        own = page(full, "id", limit, {"op": "export"}, graph, cursor, fingerprint)
+        yield own
+        cursor = own.next_cursor
+        if cursor is None:
+            return
+    raise GraphQueryError("export-bound-exceeded", pages=most_pages)

@@ -220,6 +220,9 @@ def test_adjacency_export_detail(spark, graph):
     assert ids(query.static_detail(graph, ent(1))) == [1, 3]
     assert paging.canonical_size(page.items) > 50
     assert query.incident_relations(graph, ent(2), "incoming").count() == 2
+    pages = list(query.export_pages(graph, bound, limit=2))
+    assert [[r["id"] for r in p.items] for p in pages] == [[ent(1), ent(2)], [ent(3)]]
+    assert code(lambda: list(query.export_pages(graph, bound, limit=1, most_pages=2))) == "export-bound-exceeded"
 
 
 def test_empty_graph(spark):
@@ -244,8 +247,9 @@ def test_scalars(spark):
     assert one(S.locator_within(lit("a/b"), lit("a"))) and not one(S.locator_within(lit("ab"), lit("a")))
     assert not one(S.locator_valid(lit("a/../b"))) and one(S.locator_valid(lit("a/b.txt")))
     assert one(S.source_lines(lit("a\nb"))) == 2 and one(S.source_lines(lit(""))) == 0
-    assert one(S.package_of(lit("@a/b/c"))) == "@a/b" and one(S.package_of(lit("x/y"))) == "x" and one(S.package_of(lit("./x"))) is None
-    assert one(S.package_of(lit("node:fs"))) == "runtime"
+    packages = {"@a/b/c": "@a/b", "x/y": "x", "./x": None, "/x": None, "#x": None, "": None, "node:fs/promises": "node:fs", "fs": "node:fs", "x//y": None, "@a": None, "x/../y": None, "bun:test": "bun:test"}
+    assert {k: one(S.package_of(lit(k))) for k in packages} == packages
     assert one(S.nearest_depth(F.array(lit("a/b/c"), lit("a/b")))) == 2
-    assert one(S.normalized(lit("ＡＢ"))) == "ab" and one(S.surface_label(lit("incoming"), lit("x"))) == "Needed by"
+    assert one(S.normalized(lit("ＡＢ"))) == "ab" and one(S.surface_label(lit("incoming"), lit("requires"))) == "Needed by"
+    assert one(S.surface_label(lit("outgoing"), lit("x"))) == "Relates to" and one(S.surface_label(lit("incoming"), lit("informs"))) == "Told by"
     assert one(S.extensions_valid(F.create_map(lit("a:b"), lit(1)))) and not one(S.extensions_valid(F.create_map(lit("ab"), lit(1))))

@@ -242,3 +242,31 @@ def test_session_states(spark, tmp_path):
     got = [(r["session"], r["sequence"], r["status"], r["problem"]) for r in spark.read.parquet(out).orderBy("session", "sequence").collect()]
     assert got[:4] == [("a", 1, "active", None), ("a", 2, "active", "expiry-heartbeat-mismatch"), ("a", 3, "expired", None), ("a", 4, "expired", "session-ended")]
     assert ("b", 2, "active", "sequence-not-advancing") in got and got[-1] == ("b", 3, "completed", None)
+
+
+def test_scanners(spark, tmp_path):
+    from lattica.sources.scanner import Scanner, scan_resources
+
+    def scan(path, content):
+        for n, line in enumerate(content.decode().splitlines()):
+            yield f"{path}:{n}", "documentation", line
+
+    files = spark.createDataFrame([("a/x.md", b"one\ntwo"), ("b/y.md", b"three")], "path string, content binary")
+    scopes = spark.createDataFrame([("s", "a")], "scope string, resource_root string")
+    own = Scanner("lines", "main", "1", scan)
+    assert rows(scan_resources(own, files, scopes), "scope", "key", "body") == [("s", "a/x.md:0", "one"), ("s", "a/x.md:1", "two")]
+    assert code(lambda: scan_resources(own, files, scopes, most_records=1)) == "observation-bound-exceeded"
+
+
+def test_retries(spark, tmp_path):
+    root, g = str(tmp_path / "r"), small(spark, {"s": (None, None)})
+    stores.write_generation(g, root)
+    raced = []
+
+    def change(now):
+        if not raced:  # another writer comes first
+            raced.append(stores.write_generation(now.with_frames(generation=now.generation + 1), root))
+        return now.with_frames(generation=now.generation + 1)
+
+    done = mutate.with_retries(lambda: stores.read_generation(spark, root), change, lambda p: stores.write_generation(p, root))
+    assert done.generation == 3
