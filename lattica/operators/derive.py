@@ -39,9 +39,9 @@ def import_edges(imports: DataFrame, most_provenance: int = PROVENANCE_LIMIT, mo
     beyond it in (source, target) order are left out and every row says partial.
     """
     order = F.row_number().over(Window.partitionBy("source", "target").orderBy("resource", "start"))
-    ranked = imports.withColumn("__r", order)
-    item = F.when(F.col("__r") <= most_provenance, F.struct("resource", "start"))
-    pairs = ranked.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("provenance"))
+    first = imports.withColumn("__r", order).where(F.col("__r") <= most_provenance)  # ranked before the shuffle, too
+    first = first.groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("resource", "start"))).alias("provenance"))
+    pairs = imports.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).join(first, ["source", "target"])
     if most_pairs is None:
         return pairs.withColumn("partial", F.lit(False))
     total = pairs.count()
@@ -50,15 +50,15 @@ def import_edges(imports: DataFrame, most_provenance: int = PROVENANCE_LIMIT, mo
 
 def first_records(records: DataFrame) -> DataFrame:
     """One record per (scope, key), the first by kind and content; `partial` where others were dropped."""
-    same = Window.partitionBy("scope", "key")
-    ranked = records.withColumn("__r", F.row_number().over(same.orderBy("kind", "content"))).withColumn("partial", F.count(F.lit(1)).over(same) > 1)
-    return ranked.where("__r = 1").drop("__r")
+    rest = [c for c in records.columns if c not in ("scope", "key", "kind", "content")]
+    first = F.min(F.struct("kind", "content", *rest)).alias("r")
+    return records.groupBy("scope", "key").agg(first, (F.count(F.lit(1)) > 1).alias("partial")).select("scope", "key", "r.*", "partial")
 
 
 def sample_files(files: DataFrame, most: int = 256) -> DataFrame:
     """Up to `most` files (boundary, file), one of each boundary in turn."""
     turn = F.row_number().over(Window.partitionBy("boundary").orderBy("file"))
-    return files.withColumn("turn", turn).orderBy("turn", "boundary").limit(most)
+    return files.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", "boundary").limit(most)
 
 
 def scale_for(count: Column, signal: str) -> Column:

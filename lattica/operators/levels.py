@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code_unit_key, display_text
 from ..plans.lineage import cut, is_empty
+from ..plans.ordering import with_rank_in
 
 LEVEL_BUDGET = 20
 LABEL_POINTS = 28
@@ -28,10 +29,9 @@ def index_buckets(members: DataFrame, budget: int = LEVEL_BUDGET) -> DataFrame:
     Members are numbered once per scope; a level's buckets follow from the numbers, and buckets that are
     still too full are divided again, one pass a level. lineage: bucket numbers from the top, by dots.
     """
-    own = Window.partitionBy("scope")
-    place = F.row_number().over(own.orderBy(code_unit_key(F.col("text")), "id")) - 1
-    rows = members.select("scope", "id", "text", place.alias("at"), F.count(F.lit(1)).over(own).alias("n"))
-    rows = cut(rows.withColumn("lineage", F.lit(""))).where(F.col("n") > budget)
+    keyed = members.select("scope", "id", "text", code_unit_key(F.col("text")).alias("__order"))
+    rows = with_rank_in(keyed, "scope", "__order", "id", name="at").withColumnRenamed("at_of", "n")
+    rows = cut(rows.select("scope", "id", "text", "at", "n", F.lit("").alias("lineage")).where(F.col("n") > budget))
     out = None
     while not is_empty(rows):
         size = F.greatest(F.lit(budget), F.ceil(F.col("n") / budget)).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import locator_within
 from ..plans.errors import GraphQueryError
 from ..plans.lineage import is_empty
+from ..plans.ordering import with_max_before
 
 KINDS = ("component-candidate", "input", "output", "action", "relationship", "documentation")
 
@@ -42,8 +43,7 @@ def batch_receipts(records: DataFrame) -> DataFrame:
 
 def sequence_problems(messages: DataFrame) -> DataFrame:
     """Messages (session, arrival, sequence) whose sequence does not pass the one before."""
-    before = F.max("sequence").over(Window.partitionBy("session").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    return messages.withColumn("before", before).where("sequence <= before")
+    return with_max_before(messages, "session", "arrival", "sequence").where("sequence <= before")
 
 
 def coverage_problems(declared: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -97,13 +97,12 @@ def event_statuses(events: DataFrame) -> DataFrame:
     A consumer that is told to refetch goes on from the generation that it refetched, so the generation it
     has is the largest so far, at least its stream's `start`.
     """
-    before = F.max("generation").over(Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    now = F.greatest(F.col("start"), F.coalesce(before, F.col("start")))
+    now = F.greatest("start", "__before")
     status = (
         F.when(F.col("generation") == now, "duplicate").when(F.col("generation") < now, "reversed")
         .when(F.col("generation") == now + 1, "accepted").otherwise("missed")
     )
-    return events.withColumn("status", status)
+    return with_max_before(events, "stream", "arrival", "generation", name="__before").withColumn("status", status).drop("__before")
 
 
 def affected_ids(mutations: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.errors import GraphQueryError
@@ -69,8 +69,8 @@ def traverse(
         if seen > bounds.visits:
             raise GraphQueryError("traversal-relation-visit-bound-exceeded", visits=seen)
     met = steps.join(near.select(F.col("entity").alias("from"), (F.col("distance") + 1).alias("depth")), "from")
-    first = F.row_number().over(Window.partitionBy("relation").orderBy("depth", "from", "direction"))
-    hits = met.withColumn("__r", first).where("__r = 1").select("depth", "relation", "type", "direction", "from", "entity")
+    first = F.min(F.struct("depth", "from", "direction", "type", "entity")).alias("h")
+    hits = met.groupBy("relation").agg(first).select("h.depth", "relation", "h.type", "h.direction", "h.from", "h.entity")
     if bounds.relations is not None and hits.count() > bounds.relations:
         raise GraphQueryError("traversal-relation-bound-exceeded")
     if bounds.entities is not None and hits.select("entity").where(F.col("entity") != start).distinct().count() + 1 > bounds.entities:

@@ -270,3 +270,18 @@ def test_retries(spark, tmp_path):
 
     done = mutate.with_retries(lambda: stores.read_generation(spark, root), change, lambda p: stores.write_generation(p, root))
     assert done.generation == 3
+
+
+def test_running_maximum_across_partitions(spark):
+    from lattica.plans.ordering import with_max_before, with_rank_in
+
+    own = [("hot", n, (n * 37) % 101) for n in range(300)] + [("a", 1, 5), ("a", 2, 3), (None, 1, 7), (None, 2, 1)]
+    df = spark.createDataFrame(own, "k string, at long, v long").repartition(7)
+    got = {(r["k"], r["at"]): r["before"] for r in with_max_before(df, "k", "at", "v").collect()}
+    want, top = {}, {}
+    for k, at, v in sorted(own, key=lambda r: (r[0] or "", r[1])):
+        want[k, at] = top.get(k)
+        top[k] = max(v, top.get(k, v))
+    assert got == want
+    ranks = {(r["k"], r["at"]): (r["r"], r["r_of"]) for r in with_rank_in(df.where("k is not null"), "k", "at", name="r").collect()}
+    assert ranks["hot", 299] == (299, 300) and ranks["a", 2] == (1, 2)
