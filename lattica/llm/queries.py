@@ -16,6 +16,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
 
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+t AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM t WHERE n >= 400)),
+a AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM a),
+s AS (SELECT r, min(i) AS f, max(i) + 400 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM g) GROUP BY r, k),
+k AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY f), 1) AS f, f - 1 AS e FROM s
+  UNION ALL SELECT t.r, coalesce(max(s.e), 1), any_value(t.n) FROM t LEFT JOIN s ON s.r = t.r GROUP BY 1),
+kept AS (SELECT k.r, coalesce(string_agg(CASE WHEN k.f <= k.e THEN hex(t.b[k.f:k.e]) ELSE '' END, '' ORDER BY k.f), '') AS x FROM k JOIN t ON t.r = k.r GROUP BY 1),
+sums AS (SELECT r, sum(e - f)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM t JOIN kept ON kept.r = t.r LEFT JOIN sums ON sums.r = t.r
+"""
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
     none = F.lit(None).cast("int")
@@ -55,6 +71,21 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=5, threshold=0.8)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE u AS (SELECT md5(text) AS k, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1),
+w AS (SELECT k, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM u),
+g AS (SELECT k, array_to_string(l[i:i + 4], ' ') AS g FROM (SELECT k, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+c AS (SELECT k, g, count(*) AS n FROM g GROUP BY ALL),
+z AS (SELECT k, sum(n) AS t FROM c GROUP BY 1),
+p AS (SELECT a.k AS x, b.k AS y, sum(least(a.n, b.n)) AS o FROM c a JOIN c b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+link AS (SELECT x, y FROM p JOIN z a ON a.k = x JOIN z b ON b.k = y WHERE o / (a.t + b.t - o) >= 0.8),
+reach AS (SELECT k AS x, k AS y FROM z UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+class AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN documents ON md5(text) = y GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(doc_id = coalesce(class_id, doc_id), true) AS kept
+FROM documents LEFT JOIN class ON x = md5(text)
+"""
+
+
 def op5_small_world_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -67,6 +98,20 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY 1),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.DEFAULT_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -110,4 +155,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op3_mixing": OP3_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL = {"op1_suffix_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_bag_minhash": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
