@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, ensure_checkpoint_dir
+from ..plans.ordering import with_rank
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) take an own folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not shared:
-        held = sc._jsc.sc().getCheckpointDir()
-        shared = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared)
-    return shared
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder: later stages read it and never recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["broadcast_if_small", "components", "cut", "partitions_of", "table_cut", "text_key", "with_rank"]
 
 
 def text_key(col) -> F.Column:
@@ -40,34 +27,12 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
-def with_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Add the gapless 0-based global rank of each row in the given order, without a single-task sort.
-
-    Rows are range-partitioned by the order and the partition number is written down (checkpoint), so
-    the counts and the ranks see the same partitions; then each partition numbers its own rows behind
-    the rows of all earlier partitions. Rows that tie in every column of the order stay in one partition.
-    """
-    pid = F.col("__pid")
-    placed = cut(df.repartitionByRange(partitions_of(df), *order).withColumn("__pid", F.spark_partition_id()))
-    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per shuffle partition
-    starts = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(pid).orderBy(*order))
-    ranked = placed.withColumn("__in", inside)
-    return (
-        ranked.join(F.broadcast(starts), "__pid")
-        .withColumn(name, F.col("__start") + F.col("__in") - 1)
-        .drop("__pid", "__in", "__start")
-    )
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change, so long chains take
-    logarithmically many rounds. A hot node is a hot key only as a group-by with partial minimum and a
-    join that Spark's skew handling may split.
+    logarithmically many rounds. A hot node is a hot key only of a group-by with partial minimum and of a
+    join with the written minima, whose other side Spark's skew handling may split.
     """
     links = cut(
         edges.where("a <> b")
@@ -94,20 +59,18 @@ def _links_state(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionAll(moved).distinct()
 
 
 def table_cut(df: DataFrame) -> DataFrame:
     """Like cut(), but as a Parquet table in the shared folder, so that later reads take single columns."""
-    import uuid
-
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
