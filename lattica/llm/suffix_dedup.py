@@ -327,15 +327,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> tuple
     are sorted apart; the strings of such anchors are also counted across the parts by their digests.
     """
     rows = _rows(docs)
-    texts = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+    texts = table_cut(rows.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")))
     kind = dict(docs.dtypes)["doc_id"]
     runs = table_cut(rows.mapInArrow(_find_anchors(length), f"key binary, doc {kind}, anchor long, at int, start int, n int"))
     # copies of a text repeat its anchors: one carrier of each text goes on, and anchors are counted again
-    shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # counts are written before they are joined, so that Spark may split a hot anchor's rows in the join
+    shared = table_cut(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
     carrier = texts.select(F.col("key").alias("k"), F.col("doc").alias("d"))
     runs = runs.join(shared, "anchor").join(carrier, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
     runs = table_cut(runs)
-    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    counts = table_cut(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     salt = F.pmod(F.xxhash64("key", "start"), F.ceil(F.col("times") / hot)).alias("salt")
     again = runs.join(counts, "anchor").withColumn("salt", F.when(F.col("times") > hot, salt).otherwise(F.lit(0)))
     again = again.groupBy("key", "doc").agg(F.collect_set(F.struct("anchor", "salt", "at", "start", "n")).alias("runs"))
