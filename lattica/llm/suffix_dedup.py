@@ -30,6 +30,7 @@ from .common import partitions_of, table_cut, text_key
 #: A perfect difference set, i.e. every residue modulo 31 is a difference of two of these.
 COVER, MODULUS = (0, 1, 3, 8, 12, 18), 31
 SEED_BYTES = 32
+_PLACE_BITS = 24
 _U = np.uint64
 
 
@@ -48,31 +49,32 @@ def byte_hashes(data: bytes) -> np.ndarray:
 
 
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts of strings of `length` bytes with one anchor: hash, anchor position, first start, starts."""
+    """Runs of starts of strings of `length` bytes with one anchor: hash, anchor position, first start, starts.
+
+    The anchor of a string is the leftmost place whose hash is smallest in its upper 40 bits; places fill
+    the lower bits while minima slide along, so very long texts go piece by piece.
+    """
     none = np.empty(0, np.int64)
-    width = length - SEED_BYTES + 1
     if len(data) < length:
         return none.astype(_U), none, none, none
+    step = (1 << _PLACE_BITS) - length
+    if len(data) - length >= step:
+        parts = []
+        for off in range(0, len(data) - length + 1, step):
+            h, p, s, n = anchors(data[off : off + step + length - 1], length)
+            parts.append((h, p + off, s + off, n))
+        return tuple(np.concatenate(c) for c in zip(*parts))
+    width = length - SEED_BYTES + 1
     h = byte_hashes(data)
     n = len(h)
-    blocks = np.concatenate([h, np.full(-n % width, ~_U(0))]).reshape(-1, width)
+    low = _U((1 << _PLACE_BITS) - 1)
+    packed = (h & ~low) | np.arange(n, dtype=_U)
+    blocks = np.concatenate([packed, np.full(-n % width, ~_U(0))]).reshape(-1, width)
     pre = np.minimum.accumulate(blocks, 1).ravel()
     suf = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(suf[: n - width + 1], pre[width - 1 : n])
-    # the leftmost place of the minimum: from a start's value on, the next position that holds it
-    new = np.concatenate(([True], least[1:] != least[:-1]))
-    where = np.flatnonzero(new)
-    ends = np.append(where[1:], len(least))
-    # one value may stay the minimum across two of its occurrences; the run is then cut at the first one
-    out_h, out_p, out_s, out_n = [], [], [], []
-    for v, s, e in zip(least[where].tolist(), where.tolist(), ends.tolist()):
-        at = s
-        while at < e:
-            p = at + int(np.argmax(h[at : at + width] == _U(v)))
-            stop = min(e, p + 1)
-            out_h.append(v), out_p.append(p), out_s.append(at), out_n.append(stop - at)
-            at = stop
-    return np.array(out_h, _U), np.array(out_p, np.int64), np.array(out_s, np.int64), np.array(out_n, np.int64)
+    place = (np.minimum(suf[: n - width + 1], pre[width - 1 : n]) & low).astype(np.int64)
+    start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    return h[place[start]], place[start], start, np.diff(np.append(start, len(place)))
 
 
 def _names(*keys: np.ndarray) -> np.ndarray:
@@ -348,6 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> tuple
     split = counts.where(F.col("times") > hot)
     if split.limit(1).count():
         windows = contexts.join(split.select("anchor"), "anchor").select("key", "start", "context")
+        # not written down: within one query this reads the exchange of the texts that the first join made
         windows = windows.mapInArrow(_salted_windows(length), "digest binary, key binary, start long").distinct()
         known = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
         more = windows.join(known, "digest").select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b"))

@@ -417,3 +417,13 @@ def test_kneser_ney_sums_to_one():
     # words of one letter: first letter and the closing mark
     scores, symbols = model.word_scores(["a", "b", "c"])
     assert (symbols == 2).all() and np.exp2(scores[:, 0]).sum() <= 1.0
+
+
+def test_anchors_of_long_texts_go_piece_by_piece(monkeypatch):
+    rng = random.Random(15)
+    data = " ".join(prose(rng, 900)).encode() * 2
+    whole = suffix_dedup.anchors(data, 64)
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 9)
+    h, p, s, n = suffix_dedup.anchors(data, 64)
+    assert sorted(np.concatenate([np.arange(a, a + k) for a, k in zip(s, n)]).tolist()) == list(range(len(data) - 63))
+    assert (p >= s).all() and (p + suffix_dedup.SEED_BYTES <= s + 64).all() and whole[3].sum() == n.sum()
