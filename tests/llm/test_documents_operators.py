@@ -287,6 +287,39 @@ def test_passages_fuzzy(spark):
     assert hit >= 19
 
 
+def best_alignment(x, y):
+    """Most matched words of x and y in order."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last, row = row, [0]
+        for n, b in enumerate(y):
+            row.append(last[n] + 1 if a == b else max(last[n + 1], row[n]))
+    return row[-1]
+
+
+def test_passages_near_the_limit(spark):
+    """Passages of 50 to 100 words, 80 to 95 % alike by brute-force alignment; edits leave the end words."""
+    rng, words = random.Random(14), [f"w{n}" for n in range(5000)]
+    texts, kinds = {}, {}
+    for length, edits in ((51, 3), (51, 5), (60, 6), (60, 11), (80, 8), (100, 10), (100, 19)):
+        for _ in range(40):
+            p = rng.choices(words, k=length)
+            q = list(p)
+            for at in rng.sample(range(1, length - 1), edits):
+                q[at] = f"changed{rng.random()}"
+            assert best_alignment(p, q) == length - edits >= 0.8 * length
+            n = len(texts)
+            kinds[n + 1] = (length, edits)
+            texts[n], texts[n + 1] = (" ".join(rng.choices(words, k=60) + v + rng.choices(words, k=60)) for v in (p, q))
+    rows = by_id(passage_dedup.repeated_passages(table(spark, texts)))
+    recall = Counter()
+    for n, kind in kinds.items():
+        recall[kind] += rows[n]["n_removed"] >= 0.8 * kind[0]
+    print({kind: recall[kind] / 40 for kind in set(kinds.values())})
+    assert all(recall[kind] >= 38 for kind in ((51, 3), (60, 6), (80, 8), (100, 10)))
+    assert recall[51, 5] >= 36 and recall[100, 19] >= 28 and recall[60, 11] >= 28
+
+
 def test_chains_are_collinear_and_best():
     rules = passage_dedup.Rules(gap_cost=0.1)
     rng = random.Random(10)
