@@ -320,6 +320,27 @@ def test_passages_near_the_limit(spark):
     assert recall[51, 5] >= 36 and recall[100, 19] >= 28 and recall[60, 11] >= 28
 
 
+def test_passages_of_stock_sentences(spark):
+    """Earlier documents hold the sentences alone or in other order; only the two last ones share the passage."""
+    rng = random.Random(16)
+    texts = {}
+    for group in range(8):
+        stock = [prose(rng, 40) for _ in range(2)]
+        for d, order in enumerate([(0,), (1,), (1, 0)] * 3):
+            own = prose(rng, 30)
+            for n in order:
+                own += stock[n] + prose(rng, 30)
+            texts[group * 20 + d] = " ".join(own)
+        for d in (10, 11):
+            texts[group * 20 + d] = " ".join(prose(rng, 30) + sum(stock, []) + prose(rng, 30))
+    rows = by_id(passage_dedup.repeated_passages(table(spark, texts)))
+    for d in texts:
+        if d % 20 >= 10:
+            assert rows[d]["n_repeated"] >= 78
+        if d % 20 == 11:
+            assert rows[d]["n_removed"] >= 78
+
+
 def test_chains_are_collinear_and_best():
     rules = passage_dedup.Rules(gap_cost=0.1)
     rng = random.Random(10)
