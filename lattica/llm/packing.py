@@ -17,14 +17,16 @@ from .common import cut
 
 #: Fixed values of the packed form: window length and the id that ends a document.
 WINDOW, END_ID = 2048, 1
+#: What byte_bpe_50k.json adds to the ranks; it is matched inside texts too.
+ADDED = {"<|endoftext|>": 50256}
 _LOADED: dict = {}
 
 
 def load_encoding(path: str | None = None):
     """The byte-level BPE vocabulary file as an encoder, kept once per worker.
 
-    Read from its rank form, which gives the ids of byte_bpe_50k.json (a test holds both against each
-    other); strings of special tokens in a text are ordinary text.
+    Read from its rank form, with the added token of byte_bpe_50k.json, so that the ids are those of
+    `tokenizers` with its defaults (a test holds both against each other): the token's string in a text is the token.
     """
     import public_tokenizers
     import tiktoken
@@ -34,7 +36,7 @@ def load_encoding(path: str | None = None):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding(
-            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED
         )
     return _LOADED[path]
 
@@ -93,7 +95,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str | None, with_ids:
     for batch in batches:
         rows: list[tuple] = []
         for row, text in enumerate(batch.column(1)):
-            ids = np.append(encoding.encode_to_numpy(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            ids = np.append(encoding.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
             for start, length, number, offset in held.add(len(ids)):
                 piece = ids[start : start + length]
                 rows.append((row, start, length, zlib.crc32(piece.tobytes()), len(ids), number, offset, piece if with_ids else None))

@@ -415,6 +415,24 @@ def test_packing_round_trip(spark, odd_documents):
     assert packing.pack_documents(odd_documents.where("false")).count() == 0
 
 
+def test_packing_ids_of_added_tokens(spark):
+    """Ids are those of tokenizers with its defaults, where a text holds the string of an added token."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        assert packing.ADDED == {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    encoder = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext| >", "it's<|endoftext|>'s 12"]
+    for r in packing.pack_documents(table(spark, texts), with_ids=True).collect():
+        want = encoder.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1]
+        assert r["ids"] == want and r["doc_tokens"] == len(want)
+
+
 def test_open_windows_are_bounded():
     rng, held = random.Random(13), packing.Windows(5, 100)
     most, room = 0, 0
