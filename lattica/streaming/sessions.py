@@ -73,20 +73,21 @@ def session_statuses(messages: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, last, beat = state.get if state.exists else ("active", -1, -1)
         out = []
-        for frame in batches:
-            for row in frame.sort_values("sequence", kind="stable").itertuples():
-                problem = None
-                if status != "active":
-                    problem = "session-ended"
-                elif row.sequence <= last:
-                    problem = "sequence-not-advancing"
-                elif row.type == "expire" and row.heartbeat != beat:
-                    problem = "expiry-heartbeat-mismatch"
-                else:
-                    last = row.sequence
-                    beat = row.sequence if row.type == "heartbeat" else beat
-                    status = ends.get(row.type, status)
-                out.append((key[0], row.sequence, status, problem))
+        # a group comes in several frames in no set order; only what the rules read is held of a micro-batch's messages
+        frame = pd.concat([frame[["sequence", "type", "heartbeat"]] for frame in batches])
+        for row in frame.sort_values("sequence", kind="stable").itertuples():
+            problem = None
+            if status != "active":
+                problem = "session-ended"
+            elif row.sequence <= last:
+                problem = "sequence-not-advancing"
+            elif row.type == "expire" and row.heartbeat != beat:
+                problem = "expiry-heartbeat-mismatch"
+            else:
+                last = row.sequence
+                beat = row.sequence if row.type == "heartbeat" else beat
+                status = ends.get(row.type, status)
+            out.append((key[0], row.sequence, status, problem))
         state.update((status, last, beat))
         yield pd.DataFrame(out, columns=["session", "sequence", "status", "problem"])
 

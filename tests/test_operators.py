@@ -244,6 +244,20 @@ def test_session_states(spark, tmp_path):
     assert ("b", 2, "active", "sequence-not-advancing") in got and got[-1] == ("b", 3, "completed", None)
 
 
+def test_session_states_across_frames(spark, tmp_path):
+    """A session that Spark hands over in several frames, the last messages first."""
+    src, out, chk = (str(tmp_path / x) for x in ("m", "o", "c"))
+    m = [("a", q, "complete" if q == 9 else "record", None, None, None, None, None) for q in range(9, 0, -1)]
+    spark.createDataFrame(m, sessions.MESSAGE).coalesce(1).write.parquet(src)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        sessions.run_available(sessions.session_statuses(spark.readStream.schema(sessions.MESSAGE).parquet(src)), chk, out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [(r["sequence"], r["status"], r["problem"]) for r in spark.read.parquet(out).orderBy("sequence").collect()]
+    assert got == [(q, "completed" if q == 9 else "active", None) for q in range(1, 10)]
+
+
 def test_scanners(spark, tmp_path):
     from lattica.sources.scanner import Scanner, scan_resources
 
