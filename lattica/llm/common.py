@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, ensure_checkpoint_dir
 from ..plans.ordering import with_rank
 
-__all__ = ["broadcast_if_small", "components", "cut", "partitions_of", "table_cut", "text_key", "with_rank"]
+__all__ = ["broadcast_if_small", "components", "cut", "drop_tables", "partitions_of", "table_cut", "text_key", "with_rank"]
 
 
 def text_key(col) -> F.Column:
@@ -73,4 +73,14 @@ def table_cut(df: DataFrame) -> DataFrame:
     """Like cut(), but as a Parquet table in the shared folder, so that later reads take single columns."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of table_cut() that nothing reads any more: all that came of them is written down."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -383,13 +383,35 @@ def test_passages_odd_rows(spark, odd_documents):
 # packing ------------------------------------------------------------------------------------------------
 
 
+def test_passages_take_any_ordered_id(spark):
+    rng = random.Random(31)
+    shared = " ".join(prose(rng, 70))
+    texts = {"b": " ".join(prose(rng, 30)) + " " + shared, "a": shared + " " + " ".join(prose(rng, 40)), "c": " ".join(prose(rng, 90)), None: shared}
+    df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id string, text string")
+    rows = by_id(passage_dedup.repeated_passages(df))
+    assert {d: (r["n_repeated"], r["n_removed"], r["source_id"]) for d, r in rows.items()} == {
+        "a": (70, 0, None), "b": (70, 70, "a"), "c": (0, 0, None), None: (70, 70, "a")
+    }
+    ends = spark.createDataFrame([((1 << 63) - 1, shared), (None, shared)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in passage_dedup.repeated_passages(ends).collect()} == {(1 << 63) - 1: 0, None: 70}
+
+
+def test_passages_in_rows_of_one_word(spark):
+    rng = random.Random(37)
+    row = " ".join(["same"] * 60)
+    rows = ["one"] * 20 + ["two"] * 15 + ["three"] * 25
+    texts = [" ".join(prose(rng, 60)) + " " + row, " ".join(["same"] * 900), " ".join(prose(rng, 40)), row, " ".join(rows), " ".join(prose(rng, 30) + rows)]
+    got = {d: (r["n_repeated"], r["n_removed"]) for d, r in by_id(passage_dedup.repeated_passages(table(spark, texts))).items()}
+    assert got[0] == (60, 0) and got[2] == (0, 0) and got[3] == (60, 60) and got[4] == (60, 0) and got[5] == (60, 60)
+    assert got[1][1] >= 60  # as many of its words as the earlier row has
+
+
 def test_packing_round_trip(spark, odd_documents):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     rng = random.Random(12)
     texts = [" ".join(prose(rng, rng.choice([0, 3, 50, 900, 3000]))) for _ in range(120)] + ["naïve 😀 <|endoftext|> x", None, ""]
     rows = packing.pack_documents(table(spark, texts), with_ids=True, open_windows=4).collect()
