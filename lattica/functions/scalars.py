@@ -110,15 +110,16 @@ def normalized(col: Column) -> Column:
     return _nfkc_lower(col)
 
 
-def ascii_lower_if_plain(col: Column) -> Column:
-    """normalized() for columns that are known to be ASCII: stays in the JVM."""
-    return F.lower(col)
+def searchable_text(parts: list[Column]) -> Column:
+    """The present parts, one to a line, normalised. Only texts beyond ASCII take the way through Python."""
+    joined = F.concat_ws("\n", *parts)
+    plain = joined.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(joined)).otherwise(normalized(F.when(~plain, joined)))
 
 
-def searchable_text(parts: list[Column], plain: bool = True) -> Column:
-    """The present parts, one to a line, normalised. plain=False where texts may be beyond ASCII."""
-    joined = F.concat_ws("\n", *parts)
-    return ascii_lower_if_plain(joined) if plain else normalized(joined)
+def content_revision(content: Column) -> Column:
+    """The revision of stored bytes."""
+    return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
 def search_terms(text: str, most_chars: int = 256, most_terms: int = 32) -> list[str]:

@@ -116,6 +116,21 @@ def observed_paths(bindings: DataFrame, provenance: DataFrame) -> DataFrame:
     return one.groupBy("component").agg(F.sort_array(F.collect_list("p")).alias("paths"))
 
 
+def record_references(records: DataFrame) -> DataFrame:
+    """(scope, key, record_key): the components that each observation record speaks of, by its kind.
+
+    records: scope, key, kind, component, subject, from, to. A candidate speaks of itself, inputs, outputs and actions
+    of their component, documentation of its subject, a relationship of both its ends.
+    """
+    c = F.col
+    named = (
+        F.when(c("kind") == "component-candidate", F.array("key")).when(c("kind") == "relationship", F.array("from", "to"))
+        .when(c("kind") == "documentation", F.array("subject")).otherwise(F.array("component"))
+    )
+    out = records.select("scope", F.explode(F.array_compact(named)).alias("ref"), c("key").alias("record_key"))
+    return out.select("scope", c("ref").alias("key"), "record_key").distinct()
+
+
 def evidence_views(bindings: DataFrame, references: DataFrame, coverage: DataFrame) -> DataFrame:
     """(component, scope, records, state): per bound component and scope its records and how well it is covered.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
 from ..plans.lineage import is_empty
-from .invariants import parent_problems, removal_blockers
+from .invariants import duplicate_ids, parent_problems, removal_blockers
 from .query import resolve_id
 
 _CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared")
@@ -112,24 +112,32 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
     """Apply many mutations as merges: components (op and the entity fields), relations (op and theirs), new aliases.
 
     op is create, update or remove; order is components, relations, aliases, then endpoints follow aliases.
+    Refused are ids that the batch names twice, new ones that are held and changes of ones that are not.
     """
 
-    def merged(old: DataFrame, changes: DataFrame) -> DataFrame:
+    def merged(old: DataFrame, changes: DataFrame, what: str) -> DataFrame:
+        if not is_empty(duplicate_ids(changes)):
+            raise GraphQueryError("duplicate-target")
+        if not is_empty(changes.where("op = 'create'").join(old.select("id"), "id", "left_semi")):
+            raise GraphQueryError(f"duplicate-{what}")
+        if not is_empty(changes.where("op <> 'create'").join(old.select("id"), "id", "left_anti")):
+            raise GraphQueryError(f"unknown-{what}")
         rest = old.join(changes.select("id"), "id", "left_anti")
         return rest.select(*old.columns).unionByName(changes.where("op <> 'remove'").select(*old.columns))
 
     out = _next(
-        graph, entities=merged(graph.entities, components), relations=merged(graph.relations, relations),
+        graph, entities=merged(graph.entities, components, "entity"), relations=merged(graph.relations, relations, "relation"),
         aliases=graph.aliases.unionByName(aliases.select("source", "target")),
     )
     return out.resolved()
 
 
-def transact(graph: GraphFrames, change, invariants=(), expected_generation: int | None = None) -> tuple[str, GraphFrames, list]:
+def transact(graph: GraphFrames, change, invariants=(), expected_generation: int | None = None, most: int = 1000) -> tuple[str, GraphFrames, list]:
     """Run a change (graph -> graph) under optimistic control: (outcome, graph, diagnostics).
 
     outcome: conflict if the generation moved, rejected with all diagnostics if an invariant (a function of
-    the proposed graph giving a table of id and problem) finds any, else committed.
+    the proposed graph giving a table of id and problem) finds any, else committed. An invariant that
+    finds more than `most` problems is refused: invalid-invariant-result.
     """
     if expected_generation is not None and expected_generation != graph.generation:
         return "conflict", graph, []
@@ -137,7 +145,12 @@ def transact(graph: GraphFrames, change, invariants=(), expected_generation: int
         proposed = change(graph)
     except GraphQueryError as e:
         return "rejected", graph, [e.code]
-    found = [(r["id"], r["problem"]) for check in invariants for r in check(proposed).select("id", "problem").limit(1000).collect()]
+    found = []
+    for check in invariants:
+        own = check(proposed).select("id", "problem").limit(most + 1).collect()
+        if len(own) > most:
+            raise GraphQueryError("invalid-invariant-result", most=most)
+        found += [(r["id"], r["problem"]) for r in own]
     return ("rejected", graph, found) if found else ("committed", proposed, [])
 
 

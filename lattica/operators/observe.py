@@ -83,12 +83,17 @@ def completed_snapshot(records: DataFrame, declared: DataFrame, coverage: DataFr
     return accepted_records(records)
 
 
-def external_snapshot(records: DataFrame, project: str, scanner: str, registered: DataFrame) -> DataFrame:
-    """Records of a submitted snapshot, if (project, scanner, scope) is registered for every scope."""
+def external_snapshot(records: DataFrame, project: str, scanner: str, registered: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Records of a submitted snapshot, if (project, scanner, scope) is registered for every scope.
+
+    It is held to the rules of a session: no contradictions, and, where `coverage` comes with it, each
+    scope covered once.
+    """
     known = registered.where((F.col("project") == project) & (F.col("scanner") == scanner)).select("scope")
     if not is_empty(records.join(known, "scope", "left_anti")):
         raise GraphQueryError("unregistered-snapshot-scope", project=project, scanner=scanner)
-    return accepted_records(records)
+    scopes = records.select("scope").distinct()
+    return completed_snapshot(records, scopes, scopes if coverage is None else coverage)
 
 
 def event_statuses(events: DataFrame) -> DataFrame:

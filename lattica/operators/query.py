@@ -13,6 +13,8 @@ from ..plans.graph import GraphFrames
 from ..plans.paging import Page, page
 from .aliases import resolve_aliases
 
+#: Hops of one alias chain that are followed one by one; longer ones go by doubling.
+MOST_HOPS = 16
 _FIELDS = ("id", "intent", "label", "name", "scale", "summary", "type")
 
 
@@ -20,10 +22,20 @@ def resolve_id(graph: GraphFrames, id_: str) -> str:
     """The live id behind id_ (itself or through its aliases); raises unknown-entity."""
     if graph.entities.where(F.col("id") == id_).select("id").limit(1).collect():
         return id_
-    found = resolve_aliases(graph.aliases).where(F.col("source") == id_).select("resolved").limit(1).collect()
-    if not found or not graph.entities.where(F.col("id") == found[0][0]).limit(1).count():
-        raise GraphQueryError("unknown-entity", id=id_)
-    return found[0][0]
+    own, met = id_, {id_}
+    for _ in range(MOST_HOPS):  # one chain, a filtered read a hop: the table of aliases is not resolved as a whole
+        ahead = graph.aliases.where(F.col("source") == own).select("target").limit(1).collect()
+        if not ahead or ahead[0][0] in met:
+            break
+        own = ahead[0][0]
+        met.add(own)
+        if graph.entities.where(F.col("id") == own).select("id").limit(1).collect():
+            return own
+    else:
+        found = resolve_aliases(graph.aliases).where(F.col("source") == own).select("resolved").limit(1).collect()
+        if found and graph.entities.where(F.col("id") == found[0][0]).limit(1).count():
+            return found[0][0]
+    raise GraphQueryError("unknown-entity", id=id_)
 
 
 def exact_entity(graph: GraphFrames, id_: str) -> DataFrame:
@@ -134,7 +146,7 @@ def incident_relations(graph: GraphFrames, id_: str, direction: str = "both") ->
     """(relation, type, direction, from, entity, entity_name) of one entity's relations, with the neighbour."""
     from .traverse import _steps
 
-    steps = _steps(graph.relations, direction).where(F.col("from") == id_)
+    steps = _steps(graph.relations, direction, graph.incoming).where(F.col("from") == id_)
     other = graph.entities.select(F.col("id").alias("entity"), F.coalesce("label", "name", "id").alias("entity_name"))
     return steps.join(other, "entity").select("relation", "type", "direction", "from", "entity", "entity_name")
 

@@ -24,20 +24,32 @@ class TraversalBounds:
     visits: int | None = None
 
 
-def _steps(relations: DataFrame, direction: str) -> DataFrame:
-    """(relation, type, from, entity, direction): each relation as it may be walked."""
+#: Up to so many entities a hop is asked for by a list, which a store sorted by source and target answers from few row groups.
+LISTED = 500
+
+
+def _steps(relations: DataFrame, direction: str, incoming: DataFrame | None = None) -> DataFrame:
+    """(relation, type, from, entity, direction): each relation as it may be walked; incoming: relations stored by target."""
     out = relations.select(F.col("id").alias("relation"), "type", F.col("source").alias("from"), F.col("target").alias("entity"), F.lit("outgoing").alias("direction"))
-    back = relations.select(F.col("id").alias("relation"), "type", F.col("target").alias("from"), F.col("source").alias("entity"), F.lit("incoming").alias("direction"))
+    back = (relations if incoming is None else incoming).select(F.col("id").alias("relation"), "type", F.col("target").alias("from"), F.col("source").alias("entity"), F.lit("incoming").alias("direction"))
     return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
 
 
+def _from_any(steps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The steps that start at one of the entities (from); few of them become a filter that reaches the scan."""
+    few = ids.select("from").limit(LISTED + 1).collect()
+    if len(few) <= LISTED:
+        return steps.where(F.col("from").isin([r[0] for r in few]))
+    return steps.join(ids.select("from"), "from", "left_semi")
+
+
 def distances(steps: DataFrame, root: str, depth: int) -> DataFrame:
     """(entity, distance) of all entities fewer than `depth` hops from root, root included."""
     frontier = steps.sparkSession.createDataFrame([(root, 0)], "entity string, distance int")
     seen = frontier = cut(frontier)
     for hop in range(1, depth):
         # the frontier is a set of entities, so a hub is expanded once and its edges are dealt by Spark
-        near = steps.join(frontier.select(F.col("entity").alias("from")), "from", "left_semi").select("entity").distinct()
+        near = _from_any(steps, frontier.select(F.col("entity").alias("from"))).select("entity").distinct()
         frontier = cut(near.join(seen, "entity", "left_anti").select("entity", F.lit(hop).alias("distance")))
         if is_empty(frontier):
             break
@@ -60,7 +72,7 @@ def traverse(
     from .query import resolve_id
 
     start = resolve_id(graph, root)
-    every = _steps(graph.relations, direction)
+    every = _steps(graph.relations, direction, graph.incoming)
     steps = every.where(F.col("type") == relation_type) if relation_type else every
     near = distances(steps, start, depth)
     if bounds.visits is not None:
@@ -68,7 +80,7 @@ def traverse(
         seen = every.join(near.select(F.col("entity").alias("from")), "from", "left_semi").count()
         if seen > bounds.visits:
             raise GraphQueryError("traversal-relation-visit-bound-exceeded", visits=seen)
-    met = steps.join(near.select(F.col("entity").alias("from"), (F.col("distance") + 1).alias("depth")), "from")
+    met = _from_any(steps, near.select(F.col("entity").alias("from"))).join(near.select(F.col("entity").alias("from"), (F.col("distance") + 1).alias("depth")), "from")
     first = F.min(F.struct("depth", "from", "direction", "type", "entity")).alias("h")
     hits = met.groupBy("relation").agg(first).select("h.depth", "relation", "h.type", "h.direction", "h.from", "h.entity")
     if bounds.relations is not None and hits.count() > bounds.relations:

@@ -29,9 +29,13 @@ class GraphFrames:
     relations: DataFrame
     aliases: DataFrame
     generation: int = 0
+    #: entities with `searchable`, where a store holds them
+    index: DataFrame | None = None
+    #: the relations again, stored by target
+    incoming: DataFrame | None = None
 
     def with_frames(self, **frames) -> GraphFrames:
-        return replace(self, **frames)
+        return replace(self, **({"index": None} if "entities" in frames else {}), **({"incoming": None} if "relations" in frames else {}), **frames)
 
     def resolved(self) -> GraphFrames:
         """The snapshot with relation endpoints and parents rewritten to live entities through the aliases.
@@ -51,6 +55,8 @@ class GraphFrames:
 
     def searchable(self) -> DataFrame:
         """entities with `searchable`: normalised id, kind and string fields, one to a line."""
+        if self.index is not None:
+            return self.index
         parts = [F.col(c) for c in ("id", "kind", *_PAYLOAD)]
         return self.entities.withColumn("searchable", searchable_text(parts))
 

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.observe import accepted_records, contradictions
+from ..operators.observe import accepted_records, contradictions, event_statuses
 from ..plans.lineage import is_empty
 
-MESSAGE = "session string, sequence long, type string, scope string, key string, kind string, body string, heartbeat long"
+MESSAGE = "session string, arrival long, sequence long, type string, scope string, key string, kind string, body string, heartbeat long"
 
 
 def session_sink(records_path: str, receipts_path: str):
@@ -63,7 +64,7 @@ SESSION_STATE = "status string, sequence long, heartbeat long"
 
 
 def session_statuses(messages: DataFrame) -> DataFrame:
-    """(session, sequence, status, problem) of each message, from per-session state.
+    """(session, sequence, status, problem) of each message, from per-session state, in order of arrival.
 
     A session is active until complete, fail, cancel or an expire that names its last heartbeat; sequences
     must rise, and nothing is taken after the end. There is no clock: nothing times out by itself.
@@ -74,8 +75,8 @@ def session_statuses(messages: DataFrame) -> DataFrame:
         status, last, beat = state.get if state.exists else ("active", -1, -1)
         out = []
         # a group comes in several frames in no set order; only what the rules read is held of a micro-batch's messages
-        frame = pd.concat([frame[["sequence", "type", "heartbeat"]] for frame in batches])
-        for row in frame.sort_values("sequence", kind="stable").itertuples():
+        frame = pd.concat([frame[["arrival", "sequence", "type", "heartbeat"]] for frame in batches])
+        for row in frame.sort_values("arrival", kind="stable").itertuples():
             problem = None
             if status != "active":
                 problem = "session-ended"
@@ -96,27 +97,29 @@ def session_statuses(messages: DataFrame) -> DataFrame:
     )
 
 
-def event_statuses_stream(events: DataFrame) -> DataFrame:
-    """operators.observe.event_statuses() over a stream (stream, arrival, generation, start), one state per stream.
+def event_sink(out_path: str, state_path: str):
+    """A foreachBatch function that judges committed events (stream, arrival, generation, start) as they come.
 
-    Arrivals are sequenced within each micro-batch and follow those of earlier ones.
+    A micro-batch is judged as a table, by ranges of (stream, arrival), so that a stream with most of the events
+    fills no task; between micro-batches goes the largest generation of each stream. Outputs are folders per
+    micro-batch, written anew when one is retried.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        frame = pd.concat(list(batches)).sort_values("arrival")
-        out = []
-        for row in frame.itertuples():
-            now = row.start if now is None else now
-            status = "duplicate" if row.generation == now else "reversed" if row.generation < now else "accepted" if row.generation == now + 1 else "missed"
-            now = max(now, row.generation)
-            out.append((key[0], row.arrival, row.generation, status))
-        state.update((int(now),))
-        yield pd.DataFrame(out, columns=["stream", "arrival", "generation", "status"])
-
-    return events.groupBy("stream").applyInPandasWithState(
-        step, "stream string, arrival long, generation long, status string", "generation long", "append", GroupStateTimeout.NoTimeout
-    )
+    def judge(batch: DataFrame, number: int) -> None:
+        before = _read(batch.sparkSession, state_path, T.StructType().add("stream", "string").add("now", "long"), number)
+        before = before.groupBy("stream").agg(F.max("now").alias("__now"))
+        met = batch.join(before, "stream", "left").withColumn("start", F.greatest("start", "__now")).drop("__now")
+        event_statuses(met).select("stream", "arrival", "generation", "status").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        top = batch.groupBy("stream").agg(F.max(F.greatest("generation", "start")).alias("now"))
+        top.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+
+    return judge
+
+
+def run_events(events: DataFrame, checkpoint: str, out_path: str, state_path: str) -> None:
+    """Judge what is there and stop."""
+    query = events.writeStream.foreachBatch(event_sink(out_path, state_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def run_available(df: DataFrame, checkpoint: str, path: str) -> None:
