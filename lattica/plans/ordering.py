@@ -29,6 +29,16 @@ def with_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return ranked.withColumn(name, F.col("__start") + F.col("__in") - 1).drop("__pid", "__in", "__start")
 
 
+def with_sum_before(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
+    """Add the sum of a value over all earlier rows of the whole table; rows have different `order`."""
+    placed = _placed(df, order)
+    sums = placed.groupBy("__pid").agg(F.sum(value).alias("__n"))  # one row per partition
+    starts = sums.select("__pid", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.sum(value).over(Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("__in", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "__pid")
+    return joined.withColumn(name, F.col("__start") + F.col("__in")).drop("__pid", "__in", "__start")
+
+
 def with_rank_in(df: DataFrame, key: str, *order, name: str = "rank") -> DataFrame:
     """Add each row's 0-based rank among the rows of its key, and `<name>_of`, how many the key has."""
     ranked = with_rank(df, key, *order, name="__rank")

@@ -1,7 +1,7 @@
 """The registered queries."""
 
-from . import evidence, graph
+from . import changes, evidence, graph
 
 QUERIES = graph.QUERIES
 ORACLE_SQL = graph.ORACLE_SQL
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "evidence"]

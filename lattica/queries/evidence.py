@@ -192,12 +192,12 @@ def locator_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "text_limits",
     """SELECT doc_id, coalesce(length(t) <= 80 AND length(t) > 0 AND trim(t) = t AND NOT regexp_matches(t, '[[:cntrl:]]'), false) AS label,
-    coalesce(regexp_full_match(source, '[a-z][a-z0-9]*([.-][a-z0-9]+)*'), false) AS kind FROM (SELECT doc_id, source, split_part(text, '.', 1) AS t FROM documents)""",
+    coalesce(regexp_full_match(source, '[a-z][a-z0-9]*([.-][a-z0-9]+)*'), false) AS kind FROM (SELECT doc_id, source, text AS t FROM documents)""",
     graph=False,
 )
 def text_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", S.label_valid(F.substring_index("text", ".", 1)).alias("label"), S.kind_valid(F.col("source")).alias("kind"))
+    return docs.select("doc_id", S.label_valid(F.col("text")).alias("label"), S.kind_valid(F.col("source")).alias("kind"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,14 +250,19 @@ def coverage_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "coverage_problems",
-    """SELECT coalesce(d.source, c.source) AS scope, CASE WHEN d.source IS NULL THEN 'undeclared-scope' ELSE 'uncovered-scope' END AS problem
-    FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0) d FULL JOIN (SELECT DISTINCT source FROM documents WHERE lang = 'es') c ON d.source = c.source
-    WHERE d.source IS NULL OR c.source IS NULL""",
+    """WITH d AS (SELECT DISTINCT source FROM documents)
+    SELECT source AS scope, 'uncovered-scope' AS problem FROM d WHERE right(source, 1) IN ('1', '3', '5', '7', '9')
+    UNION ALL SELECT source, 'duplicate-coverage' FROM d WHERE right(source, 1) = '4'
+    UNION ALL SELECT 'old-' || source, 'undeclared-scope' FROM d WHERE right(source, 1) = '3'""",
     graph=False,
 )
 def coverage_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "scope")
-    return observe.coverage_problems(docs.where("doc_id % 7 = 0"), docs.where("lang = 'es'").select("scope").distinct())
+    """Even scopes are covered, one of them twice, and so are old scopes that nobody declares."""
+    declared = table(spark, sf_dir, "documents").select(F.col("source").alias("scope"))
+    one, digit = declared.distinct(), F.right(F.col("scope"), F.lit(1))
+    coverage = one.where(digit.isin("0", "2", "4", "6", "8")).unionByName(one.where(digit == "4"))
+    coverage = coverage.unionByName(one.where(digit == "3").select(F.concat(F.lit("old-"), "scope").alias("scope")))
+    return observe.coverage_problems(declared, coverage)
 
 
 def _prior_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
@@ -383,28 +388,28 @@ def event_sequence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _scratch(spark)
     _generations(spark, sf_dir).write.parquet(f"{at}/in")
     schema = "stream string, arrival long, generation long, start long"
-    sessions.run_available(sessions.event_statuses_stream(spark.readStream.schema(schema).parquet(f"{at}/in")), f"{at}/checkpoint", f"{at}/out")
-    return spark.read.schema("stream string, arrival long, generation long, status string").parquet(f"{at}/out")
+    sessions.run_events(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/checkpoint", f"{at}/out", f"{at}/state")
+    return spark.read.schema("stream string, arrival long, generation long, status string, batch long").parquet(f"{at}/out").drop("batch")
 
 
 @registered(
     "session_stream",
-    """WITH t AS (SELECT DISTINCT source AS session, lang AS scope, doc_id % 500 AS key, text AS body FROM documents),
+    """WITH t AS (SELECT DISTINCT source AS session, lang AS scope, CASE WHEN source = 'src1' THEN doc_id % 3 ELSE doc_id END AS key, text AS body FROM documents),
     bad AS (SELECT session FROM t GROUP BY session, scope, key HAVING count(DISTINCT body) > 1)
     SELECT session, count(*) AS n FROM t WHERE session NOT IN (SELECT session FROM bad) AND session NOT IN ('src3', 'src4') GROUP BY 1""",
     graph=False,
 )
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as record messages of one session per source; all sources but two complete."""
+    """Documents as record messages of one session per source; one contradicts itself, two do not complete."""
     at = _scratch(spark)
     docs = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
     records = docs.select(
-        F.col("source").alias("session"), F.col("doc_id").alias("sequence"), F.lit("record").alias("type"), F.col("lang").alias("scope"),
-        (F.col("doc_id") % 500).cast("string").alias("key"), F.lit("documentation").alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("heartbeat"),
+        F.col("source").alias("session"), F.col("doc_id").alias("arrival"), F.col("doc_id").alias("sequence"), F.lit("record").alias("type"), F.col("lang").alias("scope"),
+        F.when(F.col("source") == "src1", F.col("doc_id") % 3).otherwise(F.col("doc_id")).cast("string").alias("key"), F.lit("documentation").alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("heartbeat"),
     )
     ends = docs.select("source").distinct().where("source not in ('src3', 'src4')").select(
-        F.col("source").alias("session"), F.lit(1 << 40).alias("sequence"), F.lit("complete").alias("type"), none.alias("scope"), none.alias("key"), none.alias("kind"), none.alias("body"), F.lit(None).cast("long").alias("heartbeat")
+        F.col("source").alias("session"), F.lit(1 << 40).alias("arrival"), F.lit(1 << 40).alias("sequence"), F.lit("complete").alias("type"), none.alias("scope"), none.alias("key"), none.alias("kind"), none.alias("body"), F.lit(None).cast("long").alias("heartbeat")
     )
     records.unionByName(ends).write.parquet(f"{at}/in")
     sessions.run_sessions(spark.readStream.schema(sessions.MESSAGE).parquet(f"{at}/in"), f"{at}/checkpoint", f"{at}/records", f"{at}/receipts")

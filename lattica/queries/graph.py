@@ -203,12 +203,12 @@ def descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "ancestors",
-    """, up AS (SELECT id, parent AS ancestor, 1 AS distance FROM ent WHERE parent IS NOT NULL AND type <> 'order'
+    """, up AS (SELECT id, parent AS ancestor, 1 AS distance FROM ent WHERE parent IS NOT NULL
       UNION ALL SELECT up.id, ent.parent, distance + 1 FROM up JOIN ent ON ent.id = ancestor WHERE ent.parent IS NOT NULL)
     SELECT id, ancestor, distance FROM up""",
 )
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.ancestors(star_graph(spark, sf_dir, orders=False).entities.select("id", "parent"))
+    return hierarchy.ancestors(star_graph(spark, sf_dir).entities.select("id", "parent"))
 
 
 @registered(
@@ -299,7 +299,7 @@ def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _injected(spark: SparkSession, sf_dir: str) -> GraphFrames:
     """The star graph with errors: customers doubled, suppliers gone, customers as systems under domains."""
-    graph = star_graph(spark, sf_dir, orders=False, types=("supplies",))
+    graph = star_graph(spark, sf_dir)
     hit = lambda d: F.conv(F.substring("id", 5, 4), 16, 10).cast("long") % d == 0
     customers = graph.entities.where("type = 'customer'")
     kept = graph.entities.where(~((F.col("type") == "supplier") & hit(5)))
@@ -310,7 +310,7 @@ def _injected(spark: SparkSession, sf_dir: str) -> GraphFrames:
 _HIT = "(('0x' || substr(id, 5, 4))::BIGINT % {d} = 0)"
 _BROKEN = f""", bad AS (
     SELECT * REPLACE (CASE WHEN type = 'customer' AND {_HIT.format(d=11)} THEN 'system' ELSE scale END AS scale) FROM ent
-      WHERE type <> 'order' AND NOT (type = 'supplier' AND {_HIT.format(d=5)})
+      WHERE NOT (type = 'supplier' AND {_HIT.format(d=5)})
     UNION ALL SELECT * FROM ent WHERE type = 'customer' AND {_HIT.format(d=13)})"""
 
 
@@ -321,7 +321,8 @@ def duplicate_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "dangling_endpoints",
-    _BROKEN + " SELECT id AS relation, 'source' AS role, source AS endpoint FROM rel WHERE type = 'supplies' AND source NOT IN (SELECT id FROM bad)",
+    _BROKEN + """ SELECT id AS relation, role, endpoint FROM (SELECT id, 'source' AS role, source AS endpoint FROM rel UNION ALL SELECT id, 'target', target FROM rel)
+    WHERE endpoint NOT IN (SELECT id FROM bad)""",
 )
 def dangling_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.dangling_endpoints(_injected(spark, sf_dir))
@@ -403,12 +404,12 @@ def retirement_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "topological_order",
-    """, up AS (SELECT id, 0 AS stage FROM ent WHERE parent IS NULL AND type <> 'order'
-      UNION ALL SELECT ent.id, stage + 1 FROM ent JOIN up ON ent.parent = up.id WHERE type <> 'order')
+    """, up AS (SELECT id, 0 AS stage FROM ent WHERE parent IS NULL
+      UNION ALL SELECT ent.id, stage + 1 FROM ent JOIN up ON ent.parent = up.id)
     SELECT id, stage FROM up""",
 )
 def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = star_graph(spark, sf_dir, orders=False).entities
+    own = star_graph(spark, sf_dir).entities
     return hierarchy.topological_order(own.select("id"), own.where("parent is not null").select("id", F.col("parent").alias("on")))
 
 
@@ -428,8 +429,8 @@ def overview_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "level_index_buckets",
-    """, m AS (SELECT parent AS scope, id, name AS text, row_number() OVER (PARTITION BY parent ORDER BY name, id) - 1 AS pos,
-      count(*) OVER (PARTITION BY parent) AS n FROM ent WHERE type IN ('customer', 'supplier')),
+    """, m AS (SELECT coalesce(parent, 'top') AS scope, id, name AS text, row_number() OVER (PARTITION BY parent ORDER BY name, id) - 1 AS pos,
+      count(*) OVER (PARTITION BY parent) AS n FROM ent),
     b AS (SELECT scope, text, '' AS lineage, pos, n, 0::BIGINT AS size FROM m
       UNION ALL SELECT scope, text, CASE WHEN lineage = '' THEN '' ELSE lineage || '.' END || (pos // s)::VARCHAR, pos % s, least(s, n - pos // s * s), s
       FROM (SELECT *, greatest(20, ceil(n / 20.0))::BIGINT AS s FROM b WHERE n > 20)),
@@ -437,8 +438,7 @@ def overview_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT scope, lineage, n, a AS first, z AS last, CASE WHEN a = z THEN a || ' (' || n || ')' ELSE a || ' – ' || z END AS label FROM g""",
 )
 def level_index_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = star_graph(spark, sf_dir, orders=False).entities.where("type IN ('customer', 'supplier')")
-    return levels.index_buckets(levels.ordered_members(own, F.col("parent")))
+    return levels.index_buckets(levels.ordered_members(star_graph(spark, sf_dir).entities, F.coalesce("parent", F.lit("top"))))
 
 
 @registered(
