@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import slices
+
 ORDER = 4
 _EDGE = ord("\n")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -154,9 +156,10 @@ def train(docs: DataFrame, max_docs: int = 1500, strict: float = 0.5) -> Model |
     """Fit one model per language on about `max_docs` documents of each (chosen by a hash of doc_id and
     text; the bound of the sample), counting n-grams by a Spark aggregation.
 
-    The rejection limit of each language lies between the largest cross-entropy of its own training
-    documents (strict=1) and that of a uniform choice from the alphabet (strict=0). Returns None
-    without training rows.
+    Every fifth different text of the sample is held back from the counts to calibrate rejection: the limit of each
+    language lies between the largest cross-entropy of those that the model assigns rightly (strict=1) and
+    that of a uniform choice from the alphabet (strict=0). A language none of whose texts is held back takes the texts
+    that were counted. Returns None without training rows.
     """
     named = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
@@ -166,8 +169,12 @@ def train(docs: DataFrame, max_docs: int = 1500, strict: float = 0.5) -> Model |
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs / counts[k]))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = named.where(draw < share[F.col("lang")]).select("lang", "text")
+    back = F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)) == 0
+    kept = sample.where(~back).groupBy("lang").count().collect()
+    if len(kept) < len(langs):  # too few texts to hold any back
+        back = F.lit(False)
     schema = "lang string, k int, gram long, context long, suffix long, n long"
-    seen = sample.mapInArrow(_count_batches, schema)
+    seen = sample.where(~back).mapInArrow(_count_batches, schema)
     top = seen.where(f"k = {ORDER}").groupBy("lang", "k", "gram", "context").agg(F.sum("n").alias("n"))
     low = seen.where(f"k < {ORDER}").select("lang", "k", "gram", "context", "suffix").distinct()
     low = low.groupBy("lang", "k", "gram", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -179,9 +186,12 @@ def train(docs: DataFrame, max_docs: int = 1500, strict: float = 0.5) -> Model |
         grams[c] = grams[c].to_numpy().view(np.uint64)
     model = Model(langs, *estimate(grams, langs), np.full(len(langs), np.inf))
     own = sample.select("text", F.col("lang").alias("doc_id"))
-    worst = predict(own, model).where("lang_pred = doc_id").groupBy("lang_pred").agg(F.max("entropy")).collect()
+    own = own.withColumn("doc_id", F.concat(F.when(back, "+").otherwise("-"), "doc_id"))
+    met = predict(own, model).where("lang_pred = substring(doc_id, 2)")
+    worst = met.groupBy("lang_pred").agg(F.max(F.when(F.startswith("doc_id", F.lit("+")), F.col("entropy"))), F.max("entropy")).collect()
     uniform = -np.log2(model.floor)
-    for lang, most in worst:
+    for lang, most, counted in worst:
+        most = counted if most is None else most
         model.limit[langs.index(lang)] = max(most, strict * most + (1 - strict) * uniform)
     return model
 
@@ -203,8 +213,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for big in batches:
-            for k in range(0, big.num_rows, 1000):
-                yield _predict_batch(big.slice(k, 1000), model)
+            for part in slices(big, 1):
+                yield _predict_batch(part, model)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, entropy double, rejected boolean")
 
@@ -253,7 +263,9 @@ def identify_languages(docs: DataFrame, max_docs: int = 1500) -> DataFrame:
 def keep_identified(docs: DataFrame, max_docs: int = 1500) -> DataFrame:
     """The rows of docs whose text the models do not reject, with docs' own columns and no shuffle.
 
-    Rows are scored in place: Arrow batches carry all columns through, and only rows go.
+    Rows are scored in place: Arrow batches carry all columns through, and only rows go. Defined cases: texts that are
+    null or have no letter go; repeated rows stay or go together; without training rows, and so from an
+    empty table, nothing stays; columns of any names come through as they are.
     """
     held = F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = train(docs.where(~held), max_docs)
@@ -262,8 +274,7 @@ def keep_identified(docs: DataFrame, max_docs: int = 1500) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for k in range(0, big.num_rows, 1000):
-                part = big.slice(k, 1000)
+            for part in slices(big, at_text):
                 two = pa.RecordBatch.from_arrays([part.column(at_id), part.column(at_text)], ["doc_id", "text"])
                 rejected = _predict_batch(two, sent.value).column(4)
                 yield part.filter(pa.array(~np.asarray(rejected.to_pylist(), bool)))

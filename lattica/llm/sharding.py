@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import with_sum_before
 from .common import cut, with_rank
 
 
-def _text_code(col: Column) -> Column:
-    """A number that orders as the first six bytes of the string do; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def _text_cuts(rows: DataFrame, column: str, levels: int) -> list[tuple[str, int]]:
+    """Where the levels of a string column begin: (first value, level), at most one for each level.
+
+    Values are ranked in order by the rows that lie before them, whatever they begin with; nulls lie before all.
+    """
+    counts = cut(rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n")))
+    nulls, total = counts.agg(F.sum(F.when(F.col(column).isNull(), F.col("__n"))), F.sum("__n")).first()
+    ranked = with_sum_before(counts.where(F.col(column).isNotNull()), column, "__n")
+    level = F.floor((F.col("before") + (nulls or 0)) * levels / (total or 1)).cast("int")
+    return [(r[1], r[0]) for r in ranked.groupBy(level.alias("level")).agg(F.min(column)).collect()]
+
+
+def _text_level(col: Column, cuts: list[tuple[str, int]]) -> Column:
+    """The highest level that begins at the value or before it; null has level 0."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(n).cast("long").alias("n")) for v, n in cuts])
+    return F.coalesce(F.array_max(F.transform(F.filter(table, lambda c: c["v"] <= col), lambda c: c["n"])), F.lit(0))
 
 
 def _level(col: Column, cuts: list) -> Column:
@@ -76,7 +91,7 @@ def hilbert_index(levels: list[Column], bits: int) -> Column:
 def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 4, carry: bool = False) -> DataFrame:
     """Put every row into one of `shards` runs of a Hilbert curve over (source, lang, size).
 
-    Each dimension is quantised at its own approximate quantiles to `bits` bits, rows are ordered by
+    Each dimension is quantised at its own quantiles to `bits` bits (the size's are approximate), rows are ordered by
     curve index and cut into runs whose row counts differ by one at most, so the files of a shard
     cover a narrow range in every dimension. Returns doc_id, source, lang, size, text_crc32, curve,
     shard, slot, and with carry=True the whole input row as struct `row`. Files: write_shards().
@@ -94,10 +109,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 4, carry: bool
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
     rows = cut(rows)
-    dims = {"source": _text_code(F.col("source")), "lang": _text_code(F.col("lang")), "size": F.col("size")}
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = rows.agg(*[F.percentile_approx(c, shares, 10_000).alias(k) for k, c in dims.items()]).first()
-    levels = [_level(c, sorted(set(stats[k] or []))) for k, c in dims.items()]
+    sizes = rows.agg(F.percentile_approx("size", shares, 10_000)).first()[0]
+    levels = [_text_level(F.col(c), _text_cuts(rows, c, 1 << bits)) for c in ("source", "lang")]
+    levels.append(_level(F.col("size"), sorted(set(sizes or []))))
     placed = rows.withColumn("curve", hilbert_index(levels, bits))
     ranked = with_rank(placed, "curve", "__tie", "doc_id", name="__rank")
     total = rows.count()

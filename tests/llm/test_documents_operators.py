@@ -100,6 +100,53 @@ def test_sharding_law_and_slots(spark, odd_documents):
     assert sharding.hilbert_shards(odd_documents.where("false")).count() == 0
 
 
+def hilbert_place(point, bits):
+    x, n, q = list(point), len(point), 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        t ^= (1 << b) - 1 if x[-1] >> b & 1 else 0
+    place = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            place = place * 2 + ((v ^ t) >> b & 1)
+    return place
+
+
+def test_hilbert_shards_by_brute_force(spark):
+    """Sources with a long common front: curve places equal a plain computation, and a source lies in few shards."""
+    rng = random.Random(41)
+    rows = [(n, "x" * rng.randint(0, 900), rng.choice(["de", "en", None]), rng.choice([f"https://crawl-2024/part-{k:02d}" for k in range(8)] + [None])) for n in range(960)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in sharding.hilbert_shards(df, shards=24).collect()}
+
+    def levels(values):
+        nulls, known = sum(v is None for v in values), sorted(v for v in values if v is not None)
+        return {None: 0} | {v: (nulls + known.index(v)) * 16 // len(values) for v in set(known)}
+
+    source, lang = levels([r[3] for r in rows]), levels([r[2] for r in rows])
+    sizes = sorted(len(r[1]) + 8 for r in rows)
+    cuts = sorted({sizes[-(-i * len(sizes) // 16) - 1] for i in range(1, 16)})
+    for n, text, own_lang, own_source in rows:
+        point = (source[own_source], lang[own_lang], sum(c < len(text) + 8 for c in cuts))
+        assert got[n]["curve"] == hilbert_place(point, 4)
+    order = sorted(got.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in order)
+    assert Counter(r["shard"] for r in order) == {k: 40 for k in range(24)}
+    touched = {s: len({got[r[0]]["shard"] for r in rows if r[3] == s}) for s in source}
+    # a reader of one source opens fewer than half of the shards; dealt out blindly, all of them would hold it
+    assert len(set(source.values())) == 9 and sum(touched.values()) / len(touched) < 12 and max(touched.values()) < 16
+
+
 def test_shards_are_written(spark, tmp_path, odd_documents):
     path = str(tmp_path / "shards")
     sharding.write_shards(sharding.hilbert_shards(odd_documents, shards=3, carry=True), path)
