@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -117,6 +118,32 @@ def searchable_text(parts: list[Column]) -> Column:
     return F.when(plain, F.lower(joined)).otherwise(normalized(F.when(~plain, joined)))
 
 
+@F.pandas_udf("values long, depth long")
+def _json_structure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def of(text: str | None) -> tuple:
+        if text is None:
+            return None, None
+        values, depth, level = 0, 0, [json.loads(text)]
+        while level:  # one pass over each level of nesting
+            values, depth = values + len(level), depth + 1
+            level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        return values, depth
+
+    for texts in batches:
+        yield pd.DataFrame([of(t) for t in texts], columns=["values", "depth"], dtype="Int64")
+
+
+def json_structure(col: Column) -> Column:
+    """(values, depth) of a JSON text: how many values it has, itself included, and how deep they lie; a scalar has depth 1."""
+    return _json_structure(col)
+
+
+def within_budget(col: Column, most_values: int, most_depth: int) -> Column:
+    """Whether a JSON text has no more values and levels than that."""
+    size = json_structure(col)
+    return (size["values"] <= most_values) & (size["depth"] <= most_depth)
+
+
 def content_revision(content: Column) -> Column:
     """The revision of stored bytes."""
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))

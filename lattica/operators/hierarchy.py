@@ -88,6 +88,14 @@ def retire(candidates: DataFrame, entities: DataFrame, relations: DataFrame, rem
     return containment_depth(inside).select("id", "depth")
 
 
+def retire_selected(selector, entities: DataFrame, relations: DataFrame, removable: DataFrame) -> DataFrame:
+    """retire() for the candidates (id) that a user's function picks from (entities, relations); unknown ids are refused."""
+    candidates = selector(entities, relations).select("id")
+    if not is_empty(candidates.join(entities.select("id"), "id", "left_anti")):
+        raise GraphQueryError("unknown-retirement-candidate")
+    return retire(candidates, entities, relations, removable)
+
+
 def topological_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, stage): after how many rounds all that a node needs is there; nodes (id), needs (id, on).
 

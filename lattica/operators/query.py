@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.errors import GraphQueryError
 from ..plans.graph import GraphFrames
-from ..plans.paging import Page, page
+from ..plans.ordering import with_rank_in
+from ..plans.paging import Page, canonical_size, page
 from .aliases import resolve_aliases
 
 #: Hops of one alias chain that are followed one by one; longer ones go by doubling.
@@ -178,12 +179,32 @@ def export_blueprint(graph: GraphFrames, bindings: DataFrame | None = None, page
     return full if bindings is None else with_evidence(graph, full, bindings)
 
 
-def export_pages(graph: GraphFrames, bindings: DataFrame, limit: int = 25, most_pages: int = 100) -> Iterator[Page]:
-    """The whole export in pages of one generation; raises export-bound-exceeded if `most_pages` don't hold it."""
+def with_observations(components: DataFrame, measurements: DataFrame, paths: DataFrame, each: int = 32) -> DataFrame:
+    """Components (id) with `measurements` and `paths`, sorted, and `paths_left`, how many of the paths are not listed.
+
+    measurements: what derive.single_measurements() gives, a handful per scanner. paths: (component, project, scanner,
+    resource), of which the first `each` are listed, taken by rank: a component may have any number.
+    """
+    m = measurements.groupBy(F.col("component").alias("id")).agg(F.sort_array(F.collect_list(F.struct("project", "scanner", "instance", "version", "value"))).alias("measurements"))
+    key = F.struct("project", "scanner", "resource")
+    ranked = with_rank_in(paths.select(F.col("component").alias("id"), key.alias("p")).distinct(), "id", "p", name="__r")
+    p = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("__r") < each, F.col("p")))).alias("paths"), F.greatest(F.lit(0), F.max("__r_of") - each).cast("long").alias("paths_left"))
+    full = components.join(m, "id", "left").join(p, "id", "left")
+    none = {c: F.array().cast(full.schema[c].dataType) for c in ("measurements", "paths")}
+    return full.withColumns({c: F.coalesce(c, e) for c, e in none.items()}).na.fill(0, ["paths_left"])
+
+
+def export_pages(graph: GraphFrames, bindings: DataFrame, limit: int = 25, most_pages: int = 100, most_bytes: int | None = None) -> Iterator[Page]:
+    """The whole export in pages of one generation; raises export-bound-exceeded if `most_pages` don't hold it.
+
+    most_bytes: what a page may have as JSON; raises page-too-large.
+    """
     fingerprint, cursor = graph.fingerprint(), None
     full = export_blueprint(graph, bindings)
     for _ in range(most_pages):
         own = page(full, "id", limit, {"op": "export"}, graph, cursor, fingerprint)
+        if most_bytes is not None:
+            canonical_size(own.items, most_bytes)
         yield own
         cursor = own.next_cursor
         if cursor is None:

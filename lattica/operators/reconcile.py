@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import minted_id
+from ..plans.graph import GraphFrames
 from .aliases import resolve_aliases
 from .observe import absent_keys, complete_kinds
 
@@ -101,6 +102,31 @@ def relationship_actions(prior: DataFrame, observed: DataFrame, coverage: DataFr
     return both.select("scope", "key", own.alias("relation_id"), action.alias("action"), *[F.when(takes, F.col(f"n_{f}")).otherwise(F.col(f"c_{f}")).alias(f) for f in fields])
 
 
+def apply_actions(graph: GraphFrames, components: DataFrame | None = None, relations: DataFrame | None = None, structure: DataFrame | None = None, fields: tuple[str, ...] = ("name", "type")) -> GraphFrames:
+    """The next generation after component_actions(), relationship_actions() and structure_actions(), each optional.
+
+    Creates and updates set the fields that the actions carry; components never go, relations go by `remove`.
+    """
+    entities, edges = graph.entities, graph.relations
+    takes = F.col("action").isin("create", "update", "recreate")
+    if components is not None:
+        new = components.where(takes).select(F.col("component_id").alias("id"), F.col("action").alias("__a"), *[F.col(f).alias(f"__{f}") for f in fields])
+        old = entities.join(new.where("__a = 'update'"), "id", "left")
+        kept = old.withColumns({f: F.when(F.col("__a").isNotNull(), F.col(f"__{f}")).otherwise(F.col(f)) for f in fields}).select(*entities.columns)
+        named = {"id": F.col("id"), "kind": F.lit("component")} | {f: F.col(f"__{f}") for f in fields}
+        fresh = new.where("__a = 'create'").select(*[named.get(c, F.lit(None)).cast(t).alias(c) for c, t in entities.dtypes])
+        entities = kept.unionByName(fresh)
+    if structure is not None:
+        moved = structure.select(F.col("component_id").alias("id"), F.col("parent").alias("__p"), F.col("shared").alias("__s"), F.lit(True).alias("__m"))
+        hit = F.col("__m").isNotNull()
+        entities = entities.join(moved, "id", "left").withColumns({"parent": F.when(hit, F.col("__p")).otherwise(F.col("parent")), "shared": F.when(hit, F.col("__s")).otherwise(F.col("shared"))}).drop("__p", "__s", "__m")
+    if relations is not None:
+        gone = relations.where(takes | (F.col("action") == "remove")).select(F.col("relation_id").alias("id"))
+        added = relations.where(takes).select(F.col("relation_id").alias("id"), "type", "source", "target", F.lit(None).cast("string").alias("description"))
+        edges = edges.join(gone, "id", "left_anti").select(*edges.columns).unionByName(added)
+    return graph.with_frames(entities=entities, relations=edges, generation=graph.generation + 1)
+
+
 def touched(actions: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(id): components that an action changes, with members and relation sources of renamed ones."""
     from .invariants import rename_dependents

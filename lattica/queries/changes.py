@@ -16,6 +16,7 @@ from ..plans.lineage import ensure_checkpoint_dir
 from ..sources import scanner, stores
 from ..sources.star import empty_graph, entity_id, star_graph, table
 from ..streaming import sessions
+from .evidence import _RECONCILED, _prior_current
 from .graph import ORACLE_SQL, _key, _walk_sql, registered
 
 
@@ -170,6 +171,35 @@ ORACLE_SQL["search_beyond_ascii"] = """SELECT 'ent_' || md5('customer:' || c_cus
 UNION ALL SELECT 'ent_' || md5('supplier:' || s_suppkey) FROM supplier WHERE contains(lower(s_name), '#00000042') AND contains(lower(s_name), '0042')"""
 
 
+@registered("export_observations", """, m AS (SELECT l_suppkey AS s, l_returnflag AS f, min(l_linenumber) AS v FROM lineitem GROUP BY 1, 2 HAVING min(l_linenumber) = max(l_linenumber)),
+    p AS (SELECT DISTINCT l_suppkey AS s, 'lines/' || l_partkey AS r FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY r) AS k FROM p)
+    SELECT s_suppkey AS key, coalesce((SELECT count(*) FROM m WHERE m.s = s_suppkey), 0) AS measured, md5(coalesce((SELECT string_agg(r, ',' ORDER BY r) FROM k WHERE k.s = s_suppkey AND k <= 32), '')) AS paths,
+      greatest(0, coalesce((SELECT count(*) FROM p WHERE p.s = s_suppkey), 0) - 32) AS paths_left FROM supplier""")
+def export_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with what was measured on them by one value only, and the first of the paths they were seen in."""
+    lines = table(spark, sf_dir, "lineitem")
+    measured = lines.select(
+        F.col("l_suppkey").alias("component"), F.lit("star").alias("project"), F.col("l_returnflag").alias("scanner"), F.lit("one").alias("instance"), F.lit("1").alias("version"), F.col("l_linenumber").alias("value")
+    )
+    paths = lines.select(F.col("l_suppkey").alias("component"), F.lit("star").alias("project"), F.lit("s").alias("scanner"), F.concat(F.lit("lines/"), F.col("l_partkey").cast("string")).alias("resource"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    out = query.with_observations(own, derive.single_measurements(measured), paths)
+    return out.select(F.col("id").alias("key"), F.size("measurements").cast("long").alias("measured"), F.md5(F.array_join(F.transform("paths", lambda p: p["resource"]), ",")).alias("paths"), "paths_left")
+
+
+@registered("page_totals", " SELECT count(*) AS items, ceil(count(*) / 100.0)::BIGINT AS pages FROM ent WHERE type IN ('region', 'nation') OR type = 'customer' AND ends_with(name, '3')")
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a listing over a stored snapshot, by cursors: how many there are and how many different ids they hold."""
+    graph = star_graph(spark, sf_dir)
+    graph = _stored(spark, sf_dir, graph.with_frames(entities=graph.entities.where("type in ('region', 'nation') or type = 'customer' and endswith(name, '3')"), relations=graph.relations.where("false")))
+    seen, pages, cursor = set(), 0, None
+    while pages == 0 or cursor is not None:
+        own = paging.page(query.list_components(graph).select("id"), "id", 100, {"op": "components"}, graph, cursor)
+        seen |= {r["id"] for r in own.items}
+        pages, cursor = pages + 1, own.next_cursor
+    return spark.createDataFrame([(len(seen), pages)], "items long, pages long")
+
+
 # aliases and containment -------------------------------------------------------------------------------
 
 
@@ -261,6 +291,15 @@ def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), S.package_of(specifier).alias("package"))
 
 
+@registered("json_budgets", """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 6 END AS n_values, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS depth, c_custkey % 3 < 2 AS fits FROM customer""", graph=False)
+def json_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar, a list of three, and records in lists in a record."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, "7").when(k % 3 == 1, "[1, null, true]").otherwise(F.concat(F.lit('{"a": [{"b": '), k.cast("string"), F.lit('}, {"c": null}]}')))
+    size = S.json_structure(text)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), size["values"].cast("int").alias("n_values"), size["depth"].cast("int").alias("depth"), S.within_budget(text, 5, 3).alias("fits"))
+
+
 # evidence and sessions ---------------------------------------------------------------------------------
 
 
@@ -417,6 +456,102 @@ def projected_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), reconcile.projected_summary(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.col("c_mktsegment")).alias("summary"))
 
 
+@registered("reconcile_all_fields", """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer),
+    f AS (SELECT *, k % 5 AS hand FROM c)
+    SELECT k AS key, CASE WHEN hand = 1 THEN 'mine' ELSE lower(n) || '.example.org' END AS icon_domain, CASE WHEN hand = 2 THEN 'mine' ELSE n || ' new' END AS label,
+      CASE WHEN hand = 3 THEN 'mine' ELSE upper(n) END AS name, CASE WHEN hand = 4 THEN 'mine' ELSE 'It is ' || m END AS summary, m AS type, 'update' AS action FROM f""", graph=False)
+def reconcile_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five fields that evidence may own; of most customers one was edited by hand since."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    c = table(spark, sf_dir, "customer")
+    own, scope = entity_id("customer", k), F.lit("s").alias("scope")
+    proposed = {"icon_domain": F.concat(F.lower(n), F.lit(".example.org")), "label": F.concat(n, F.lit(" new")), "name": F.upper(n), "summary": F.concat(F.lit("It is "), "c_mktsegment"), "type": F.col("c_mktsegment")}
+    prior = c.select(scope, k.alias("key"), own.alias("component_id"), F.lit(True).alias("present"), *[n.alias(f"p_{f}") for f in reconcile.OWNED])
+    now = c.select(own.alias("id"), *[F.when(k % 5 == at, "mine").otherwise(n).alias(f) if f != "type" else n.alias(f) for at, f in enumerate(reconcile.OWNED, 1)])
+    coverage = spark.createDataFrame([("s", ["component-candidate"], "complete")], "scope string, kinds array<string>, state string")
+    out = reconcile.component_actions(prior, c.select(scope, k.alias("key"), *[e.alias(f) for f, e in proposed.items()]), coverage, now, reconcile.OWNED)
+    return out.select("key", *reconcile.OWNED, "action")
+
+
+@registered("resource_listing", "SELECT 'part-' || n AS name, n < 3 AS first_page FROM range(5) t(n)", graph=False)
+def resource_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of nations by key, listed in two pages; what lies a folder deeper is not entered."""
+    root = _scratch(spark, "resources")
+    nations = table(spark, sf_dir, "nation").where("n_nationkey < 5")
+    for n in range(5):
+        nations.where(F.col("n_nationkey") == n).select("n_name").coalesce(1).write.text(f"{root}/deep/part-{n}")
+    fs, at = stores._file_system(spark, root)
+    for n in range(5):
+        own = [s.getPath() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/deep/part-{n}")) if s.getPath().getName().startswith("part-")]
+        fs.rename(own[0], spark._jvm.org.apache.hadoop.fs.Path(f"{root}/part-{n}"))
+    first = [r["path"] for r in stores.resource_page(spark, root, 3, pattern="part-*", depth=0, most_per_folder=5).collect()]
+    second = [r["path"] for r in stores.resource_page(spark, root, 3, first[-1], "part-*", depth=0).collect()]
+    rows = [(p.rpartition("/")[2], True) for p in first] + [(p.rpartition("/")[2], False) for p in second]
+    return spark.createDataFrame(rows, "name string, first_page boolean")
+
+
+@registered("retired_by_hook", " SELECT id FROM ent WHERE type = 'part' AND id NOT IN (SELECT target FROM rel WHERE type = 'requires' AND id LIKE 'rel_0%')")
+def retired_by_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function picks all parts; what the orders require of them goes too, but for a sixteenth."""
+    graph = star_graph(spark, sf_dir, types=("requires",))
+    removable = graph.relations.where("type = 'requires' and id not like 'rel_0%'").select("id")
+    return hierarchy.retire_selected(lambda entities, _: entities.where("type = 'part'"), graph.entities, graph.relations, removable).select("id")
+
+
+@registered("store_outcomes", "SELECT * FROM (VALUES ('first', 'committed'), ('again', 'conflict'), ('no store', 'provider-failure'), ('no answer', 'indeterminate'), ('scan', 'none'), ('second scan', 'scan-already-active'), ('scan after the end', 'none'), ('small bound', 'evidence-too-large'), ('small page', 'page-too-large')) t(request, outcome)", graph=False)
+def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star_graph(spark, sf_dir)
+    small = graph.with_frames(entities=graph.entities.where("type in ('region', 'nation')"), relations=graph.relations.where("false"))
+    root = _scratch(spark, "store")
+    out = [("first", stores.commit(small, root)), ("again", stores.commit(small, root))]
+    # relations that cannot be written: the store is asked and holds nothing
+    broken = small.with_frames(relations=small.entities.limit(1).select(*[F.raise_error(F.lit("lost")).cast("string").alias(c.split()[0]) for c in RELATIONS.split(", ")]), generation=2)
+    out.append(("no store", stores.commit(broken, root)))
+    out.append(("no answer", stores.commit(small, "nowhere://store")))
+    claims = []
+    out.append(("scan", _code(lambda: claims.append(stores.begin_scan(spark, root, "p", "s")))))
+    out.append(("second scan", _code(lambda: stores.begin_scan(spark, root, "p", "s"))))
+    stores.end_scan(spark, claims[0])
+    out.append(("scan after the end", _code(lambda: stores.begin_scan(spark, root, "p", "s"))))
+    evidence = table(spark, sf_dir, "nation").select(F.lit("a").alias("source_key"), F.lit("s").alias("scope"), F.col("n_name").alias("key"))
+    out.append(("small bound", _code(lambda: stores.write_evidence(evidence, f"{root}/evidence", most_bytes=100))))
+    bound = small.entities.select(F.col("id").alias("component_id"), F.lit(True).alias("present"))
+    out.append(("small page", _code(lambda: list(query.export_pages(small, bound, most_bytes=100)))))
+    return spark.createDataFrame(out, "request string, outcome string")
+
+
+@registered("reconciled_graph", f"""WITH a AS ({_RECONCILED}), n AS (SELECT 'ent_' || md5('customer:' || c_custkey) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'by hand' ELSE c_name END AS name,
+    CASE WHEN c_custkey % 6 > 0 THEN c_mktsegment END AS type FROM customer)
+    SELECT id, CASE WHEN action = 'update' THEN a.name ELSE n.name END AS name, CASE WHEN action = 'update' THEN a.type ELSE n.type END AS type FROM n LEFT JOIN a ON component_id = id AND action <> 'create'
+    UNION ALL SELECT component_id, name, type FROM a WHERE action = 'create'""", graph=False)
+def reconciled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' graph after a reconcile, committed as the next generation and read back."""
+    prior, candidates, coverage, now = _prior_current(spark, sf_dir)
+    graph = star_graph(spark, sf_dir)
+    own = graph.entities.where("type = 'customer'").drop("name", "type").join(now, "id").select(*graph.entities.columns)
+    root = _scratch(spark, "store")
+    stores.write_generation(graph.with_frames(entities=own, relations=graph.relations.where("false")), root)
+
+    def change(g: GraphFrames) -> GraphFrames:
+        return reconcile.apply_actions(g, reconcile.component_actions(prior, candidates, coverage, g.entities))
+
+    mutate.with_retries(lambda: stores.read_generation(spark, root), change, lambda g: stores.write_generation(g, root))
+    return stores.read_generation(spark, root).entities.select("id", "name", "type")
+
+
+@registered("reconciled_relations", """, s AS (SELECT * FROM rel WHERE type = 'supplies')
+    SELECT id, CASE WHEN id LIKE 'rel_1%' OR id LIKE 'rel_2%' THEN 'feeds' ELSE type END AS type, source, target FROM s WHERE NOT id LIKE 'rel_0%'""")
+def reconciled_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplies that are seen no more go, those seen as something else change, the rest stays."""
+    graph = star_graph(spark, sf_dir, types=("supplies",))
+    own = graph.relations
+    prior = own.select(F.lit("s").alias("scope"), F.col("id").alias("key"), F.col("id").alias("relation_id"), F.lit(False).alias("removed"), *[F.col(f).alias(f"p_{f}") for f in ("type", "source", "target")])
+    observed = own.where("id not like 'rel_0%'").select(F.lit("s").alias("scope"), F.col("id").alias("key"), F.when(F.col("id").rlike("^rel_[12]"), "feeds").otherwise(F.col("type")).alias("type"), "source", "target")
+    coverage = spark.createDataFrame([("s", ["relationship"], "complete")], "scope string, kinds array<string>, state string")
+    actions = reconcile.relationship_actions(prior, observed, coverage, own)
+    return reconcile.apply_actions(graph, relations=actions).relations.select("id", "type", "source", "target")
+
+
 # checks ------------------------------------------------------------------------------------------------
 
 
