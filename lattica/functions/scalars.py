@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructType
 
 #: The scale ladder, coarsest first, and the grammar of tokens and ids.
 SCALES = ("system", "domain", "part", "element")
@@ -118,7 +118,7 @@ def searchable_text(parts: list[Column]) -> Column:
     return F.when(plain, F.lower(joined)).otherwise(normalized(F.when(~plain, joined)))
 
 
-@F.pandas_udf("values long, depth long")
+@F.pandas_udf(StructType().add("values", LongType()).add("depth", LongType()))
 def _json_structure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     def of(text: str | None) -> tuple:
         if text is None:

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) take an own folder."""
+    """Use the cluster's spark.checkpoint.dir; only a local session without one takes a folder of its own.
+
+    A folder of one machine loses data on a cluster, so a session with executors elsewhere is refused.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not held.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(shared)
