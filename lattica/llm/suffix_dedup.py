@@ -10,7 +10,8 @@ again. There the suffixes that start the strings are sorted:
   31-byte blocks are sorted and named, triples of names are sorted and named again, and so on until a
   name stands for more than `length` bytes;
 * the remaining suffixes are merged in from right to left by (byte, name of the next suffix);
-* neighbours in that order are compared: equal prefixes of `length` bytes are repeats.
+* neighbours in that order are compared, by hashes and then by their bytes: equal prefixes of `length`
+  bytes are repeats.
 
 Residues are counted from the anchor, so two strings that may be equal have equal residues.
 """
@@ -154,6 +155,8 @@ def repeated_starts(contexts: list[bytes], before: np.ndarray, groups: np.ndarra
     h, power = _prefix_hash(data, length)
     key = h[own + length] - h[own] * power
     same = (key[1:] == key[:-1]) & (place[order][1:] == place[order][:-1]) & (groups[text[own]][1:] == groups[text[own]][:-1])
+    claimed = np.flatnonzero(same)
+    same[claimed] = equal_prefixes(data, own[claimed], own[claimed + 1], length)
     kind = np.cumsum(np.concatenate(([0], ~same))) if len(own) else np.empty(0, np.int64)
     count = np.bincount(kind)[kind] if len(own) else kind
     classes, counts = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
@@ -161,6 +164,30 @@ def repeated_starts(contexts: list[bytes], before: np.ndarray, groups: np.ndarra
     return classes, counts
 
 
+def equal_prefixes(data: np.ndarray, p: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
+    """Whether data[p : p + length] and data[q : q + length] are the same bytes, for pairs whose hashes agree.
+
+    Places follow one another, and so do their neighbours: behind an equal pair (p - 1, q - 1) only the last byte is new.
+    """
+
+    def whole(k: np.ndarray) -> np.ndarray:
+        windows, out = np.lib.stride_tricks.sliding_window_view(data, length), np.empty(len(k), bool)
+        for at in range(0, len(k), 10_000):
+            part = k[at : at + 10_000]
+            out[at : at + 10_000] = (windows[p[part]] == windows[q[part]]).all(1)
+        return out
+
+    if not len(p):
+        return np.empty(0, bool)
+    after = np.full(len(data) + 1, -2, np.int64)
+    after[p + 1] = q + 1
+    goes_on = after[p] == q
+    same = data[p + length - 1] == data[q + length - 1]
+    heads = np.flatnonzero(~goes_on)
+    same[heads] = whole(heads)
+    return same if same.all() else whole(np.arange(len(p)))
+
+
 def _prefix_hash(data: np.ndarray, length: int) -> tuple[np.ndarray, np.uint64]:
     """Polynomial hashes of all prefixes modulo 2**64, and the multiplier's power for `length` bytes."""
     mult = 0x9E3779B97F4A7C15

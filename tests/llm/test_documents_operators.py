@@ -44,6 +44,18 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_prefixes_are_compared_by_bytes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    data[2000:2600] = data[100:700]
+    data[2300] ^= 1
+    p = np.concatenate([np.arange(100, 680), rng.integers(0, 3900, 200)])
+    p = np.unique(p)
+    q = np.where((p >= 100) & (p < 680), p + 1900, rng.integers(0, 3900, len(p)))
+    got = suffix_dedup.equal_prefixes(data, p, q, 20)
+    assert got.tolist() == [bool((data[a : a + 20] == data[b : b + 20]).all()) for a, b in zip(p, q)] and 0 < got.sum() < len(got)
+
+
 @pytest.mark.parametrize("hot", [8192, 2])
 def test_suffix_dedup_equals_brute_force(spark, hot):
     rng = random.Random(3)
