@@ -13,7 +13,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400, texts=True)
+    # bytes of a character that the removal cut in two are shown as U+FFFD
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 OP1_SQL = """
@@ -27,7 +29,8 @@ k AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY f), 1) AS f, f - 1
   UNION ALL SELECT t.r, coalesce(max(s.e), 1), any_value(t.n) FROM t LEFT JOIN s ON s.r = t.r GROUP BY 1),
 kept AS (SELECT k.r, coalesce(string_agg(CASE WHEN k.f <= k.e THEN hex(t.b[k.f:k.e]) ELSE '' END, '' ORDER BY k.f), '') AS x FROM k JOIN t ON t.r = k.r GROUP BY 1),
 sums AS (SELECT r, sum(e - f)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY 1)
-SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256,
+  try(decode(unhex(x))) AS text
 FROM t JOIN kept ON kept.r = t.r LEFT JOIN sums ON sums.r = t.r
 """
 

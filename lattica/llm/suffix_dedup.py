@@ -312,23 +312,31 @@ def _salted_windows(length: int):
     return run
 
 
-def _apply(length: int):
+def _apply(length: int, texts: bool):
+    """(doc, data, copied, s) to what is left of each row: copies of at least `length` bytes go whole, else the spans s."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if texts else [])]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
         for batch in batches:
-            out = []
-            for key, data, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                merged: list[list[int]] = []
-                for a, b in sorted((s["a"], s["b"]) for s in spans):
+            out, size, done = [], 0, 0
+            for row, (data, copied, spans) in enumerate(zip(*(batch.column(c) for c in ("data", "copied", "s")))):
+                data = data.as_py()
+                merged: list[list[int]] = [[0, len(data)]] if copied.as_py() and len(data) >= length else []
+                for a, b in sorted((s["a"], s["b"]) for s in spans.as_py() or []):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
                 ends = [0, *(x for s in merged for x in s), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                out.append((key, sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "removed", "spans", "sha", "kept"])
+                kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])) if merged else data
+                one = (len(data), sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest())
+                out.append((*one, kept) if texts else one)
+                size += len(kept)
+                if size > 8_000_000 or row == batch.num_rows - 1:
+                    cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").slice(done, len(out)), *cols], ["doc_id", *names])
+                    out, size, done = [], 0, row + 1
 
     return run
 
@@ -396,26 +404,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 8192, texts: b
     columns are ignored.
     """
     carried, spans = repeated_spans(docs, length, hot)
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", text_key(raw).alias("key"), raw.alias("data"))
-    many = carried.where("n > 1").select(F.col("key").alias("k"), F.lit(True).alias("copied"))
     single = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    single = single.join(carried.where("n = 1").select("key", "doc"), "key")
-    done = _with_text(_rows(docs), single).select("key", "data", "s").mapInArrow(
-        _apply(length), "key binary, removed long, spans long, sha string, kept binary"
-    )
-    done = done.withColumnRenamed("key", "d") if texts else done.drop("kept").withColumnRenamed("key", "d")
-    n = F.octet_length("data").cast("long")
-    base = rows.select("doc_id", "key", n.alias("n_bytes"), F.sha2("data", 256).alias("own"), *(["data"] if texts else []))
-    out = base.join(many, F.col("key") == F.col("k"), "left").join(done, F.col("key") == F.col("d"), "left")
-    whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= length)
-    none = hashlib.sha256(b"").hexdigest()
-    cols = [
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(none)).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
-    ]
-    if texts:
-        cols.append(F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "data")).alias("kept"))
-    return out.select(*cols)
+    # one row per text: texts of several rows go by their copies, the others by their spans
+    fate = carried.select(F.col("key").alias("k"), (F.col("n") > 1).alias("copied"))
+    single = single.withColumnRenamed("key", "u")
+    fate = fate.join(single, (F.col("k") == F.col("u")) & ~F.col("copied"), "left").select("k", "copied", "s")
+    # joined by key alone, so that the texts' exchange is the one that the search for spans made
+    met = _rows(docs).join(fate, F.col("key") == F.col("k")).select("doc", "data", "copied", "s")
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return met.mapInArrow(_apply(length, texts), kind + (", kept binary" if texts else ""))

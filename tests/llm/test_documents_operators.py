@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lattica.llm import bag_minhash, language_id, mixing, packing, passage_dedup, sharding, suffix_dedup
+from lattica.llm import bag_minhash, language_id, mixing, packing, passage_dedup, queries, sharding, suffix_dedup
 from lattica.llm.shingles import bags
 
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("", "ta", "so", "vi", "du") for c in ("n", "r", "st", "l", "mo", "ke")]
@@ -77,9 +77,19 @@ def test_suffix_dedup_odd_rows(spark, odd_documents):
     rows = {r["doc_id"]: r for r in out}
     assert rows[4]["n_removed"] == rows[4]["n_bytes"] and rows[4]["kept"] == b""
     assert rows[6]["n_removed"] == rows[6]["n_bytes"] == 100000 and rows[1]["n_bytes"] == 0 and rows[7]["kept"] == b"x"
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in out)
     assert suffix_dedup.remove_repeats(odd_documents.where("false")).count() == 0
 
 
+def test_suffix_query_shows_cut_characters(spark, tmp_path):
+    base = " ".join(prose(random.Random(8), 120))[:500]
+    # à and é begin with one byte, which goes with the string before it
+    texts = ["éé " + base + "ā end", "x" + base + "à fin", "ü", None, "ö" + base + "é", "z" + base[50:] + "é"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = by_id(queries.op1_suffix_dedup(spark, str(tmp_path)))
+    assert [rows[n]["text"] for n in range(6)] == ["éé ā end", "x\ufffd fin", "ü", "", "ö", "z"]
+
+
 # sharding -----------------------------------------------------------------------------------------------
 
 
