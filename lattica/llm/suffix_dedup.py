@@ -376,15 +376,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> tuple
     counts = table_cut(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     salt = F.pmod(F.xxhash64("key", "start"), F.ceil(F.col("times") / hot)).alias("salt")
     again = runs.join(counts, "anchor").withColumn("salt", F.when(F.col("times") > hot, salt).otherwise(F.lit(0)))
-    again = again.groupBy("key", "doc").agg(F.collect_set(F.struct("anchor", "salt", "at", "start", "n")).alias("runs"))
-    joined = _with_text(rows, again).select("key", "data", "runs")
-    kind = "key binary, anchor long, salt long, start long, before long, context binary"
-    contexts = joined.mapInArrow(_cut_contexts(length), kind)
-    dealt = contexts.repartition(partitions_of(docs) * 2, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+
+    def contexts(some: DataFrame) -> DataFrame:
+        some = some.groupBy("key", "doc").agg(F.collect_set(F.struct("anchor", "salt", "at", "start", "n")).alias("runs"))
+        kind = "key binary, anchor long, salt long, start long, before long, context binary"
+        return _with_text(rows, some).select("key", "data", "runs").mapInArrow(_cut_contexts(length), kind)
+
+    dealt = contexts(again).repartition(partitions_of(docs) * 2, "anchor", "salt").sortWithinPartitions("anchor", "salt")
     spans = dealt.mapInArrow(_sort_groups(length), "key binary, a long, b long")
-    split = counts.where(F.col("times") > hot)
-    if split.limit(1).count():
-        windows = contexts.join(split.select("anchor"), "anchor").select("key", "start", "context")
+    if counts.where(F.col("times") > hot).limit(1).count():
+        windows = contexts(again.where(F.col("times") > hot)).select("key", "start", "context")
         # not written down: within one query this reads the exchange of the texts that the first join made
         windows = windows.mapInArrow(_salted_windows(length), "digest binary, key binary, start long").distinct()
         known = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
