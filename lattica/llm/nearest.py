@@ -202,15 +202,16 @@ def _search_blocks(k: int, width: int):
                     held = ((at["shard"], at["dim"]), (Graph.restore(x, one["entry"], links, place), x, one["ids"]))
                 graph, x, ids = held[1]
                 out = []
-                for ask in batch.column("asks")[row].as_py():
-                    q = np.array(ask["vector"])
+                own_ids, own_keys, vectors = batch.column("asks")[row].values.flatten()
+                vectors = vectors.flatten().to_numpy().reshape(len(own_ids), -1)
+                for vec_id, k1, q in zip(own_ids.to_pylist(), own_keys.to_pylist(), vectors):
                     rows = graph.search(q, k + 1, width)
                     exact = np.sqrt(((x[rows] - q) ** 2).sum(1))
                     hits = sorted((d, i) for d, r in zip(exact.tolist(), rows.tolist()) for i in ids[r])
-                    own = next((h for h in hits if h[1] == ask["vec_id"] and h[0] == 0), None)
+                    own = next((h for h in hits if h[1] == vec_id and h[0] == 0), None)
                     if own:
                         hits.remove(own)  # the query's own row, once
-                    out += [(ask["vec_id"], ask["k1"], i, d) for d, i in hits[:k]]
+                    out += [(vec_id, k1, i, d) for d, i in hits[:k]]
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["query_id", "k1", "vec_id", "score"])
@@ -218,11 +219,12 @@ def _search_blocks(k: int, width: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = 160, block: int = 256) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = 160, block: int = 4096) -> DataFrame:
     """The k nearest vectors found for each query (vec_id, embedding) by Euclidean distance.
 
     Queries go in blocks to every shard of their vector length; each shard answers with its k best and
-    the answers are merged. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
+    the answers are merged. A block is about as large as a shard: a shard is copied once per block, and a
+    block once per shard. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
     """
     asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     asked = asked.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
