@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, embedding_dedup, language_id, mixing, nearest, packing, passage_dedup, sharding, suffix_dedup, url_filter
+from . import bag_minhash, embedding_dedup, language_id, lexical, mixing, nearest, packing, passage_dedup, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,6 +146,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+z AS (SELECT count(*)::BIGINT AS docs, sum(len(l))::BIGINT AS terms FROM d WHERE len(l) > 0),
+p AS (SELECT r, doc_id, t, count(*)::BIGINT AS tf, any_value(len(l))::BIGINT AS n FROM (SELECT r, doc_id, l, unnest(l) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, z GROUP BY t),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), z GROUP BY item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -157,5 +176,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
 }
-ORACLE_SQL = {"op1_suffix_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_bag_minhash": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL = {"op1_suffix_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_bag_minhash": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_lexical_search": OP11_SQL}
