@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, embedding_dedup, language_id, lexical, mixing, nearest, packing, passage_dedup, sharding, suffix_dedup, url_filter
+from . import bag_minhash, chat, embedding_dedup, language_id, lexical, mixing, nearest, packing, passage_dedup, sharding, spelling, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +165,54 @@ SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
 """
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_replies(chat.conversation_messages(conversations.unionByName(more)), branches=1)
+    return chat.read_back(formatted).withColumnRenamed("tree", "conv_id").drop("branch")
+
+
+OP12_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(regexp_replace(text, '<(\\*)(/?s>|</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?(?:INST|ROLE|NAME)\])', '[\\\1\2', 'g')) AS n,
+  length(regexp_replace(regexp_replace(role, '<(\\*)(/?s>|</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?(?:INST|ROLE|NAME)\])', '[\\\1\2', 'g')) AS r FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n + CASE role WHEN 'system' THEN 8 + 10 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 1 + 5 ELSE 7 + r + 8 + 8 END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), times=10)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i::UBIGINT AS i, i::UBIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') AS l FROM documents),
+t AS (SELECT id, w, count(*)::BIGINT AS n FROM (SELECT id, unnest(l) AS w FROM d) WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM t),
+h AS (SELECT w, n, xor(list_reduce(bytes, lambda a, x: xor(tab[(1 + (xor(a, x::UBIGINT) & 255))::INT], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (SELECT DISTINCT word, other, m FROM (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.v = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.v = b.word)),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY m DESC, other) AS f, max(m) AS fn FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN fn >= 10 * n THEN f END AS form, CASE WHEN fn >= 10 * n THEN fn END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN f ON f.word = c.next)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -177,5 +225,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL = {"op1_suffix_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_bag_minhash": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_lexical_search": OP11_SQL}
+ORACLE_SQL = {"op1_suffix_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_bag_minhash": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_spelling_variants": OP13_SQL}
