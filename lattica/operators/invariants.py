@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import RELATION_ID, ENTITY_ID, SCALES, icon_domain_valid, kind_valid, label_valid, open_token_valid, summary_valid
 from ..plans.graph import GraphFrames
+from ..plans.payloads import extension_problems
 from .derive import scale_violations
 from .hierarchy import containment_cycles
 
@@ -32,7 +33,7 @@ def parent_problems(entities: DataFrame) -> DataFrame:
 
 
 def field_problems(entities: DataFrame) -> DataFrame:
-    """(id, problem) of malformed ids, kinds, types, scales, labels and summaries."""
+    """(id, problem) of malformed ids, kinds, types, scales, labels, summaries, icon domains, lifecycles and extension keys."""
     c = F.col
     checks = {
         "invalid-id": c("id").rlike(ENTITY_ID), "invalid-kind": kind_valid(c("kind")),
@@ -43,6 +44,10 @@ def field_problems(entities: DataFrame) -> DataFrame:
     }
     if "icon_domain" in entities.columns:
         checks["invalid-icon-domain"] = c("icon_domain").isNull() | icon_domain_valid(c("icon_domain"))
+    if "lifecycle" in entities.columns:
+        checks["invalid-lifecycle"] = c("lifecycle").isNull() | open_token_valid(c("lifecycle"))
+    if "extensions" in entities.columns:
+        checks["invalid-extension-key"] = F.size(extension_problems(c("extensions"))) == 0
     named = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()])
     return entities.select("id", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("problem"))
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
 from ..plans.lineage import is_empty
+from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
 from .invariants import duplicate_ids, parent_problems, removal_blockers
 from .query import resolve_id
 
-_CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared")
+_CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared", "icon_domain", "lifecycle")
 
 
 def _next(graph: GraphFrames, **frames) -> GraphFrames:
@@ -28,25 +29,43 @@ def _checked_scale(graph: GraphFrames, id_: str) -> GraphFrames:
 
 
 def create_component(graph: GraphFrames, component: dict) -> GraphFrames:
-    """Add a component; its id must be new and its parent known."""
+    """Add a component; its id must be new and its parent known. Keys with a namespace become its extensions."""
     if not is_empty(graph.entities.where(F.col("id") == component["id"])):
         raise GraphQueryError("duplicate-entity", id=component["id"])
     row = {"kind": "component", **component}
     if row.get("parent") is not None:
         row["parent"] = resolve_id(graph, row["parent"])
+    own = {k: row.pop(k) for k in list(row) if is_extension(k)}
     names = [f.split()[0] for f in ENTITIES.split(", ")]
+    unknown = sorted(set(row) - set(names) - set(OPEN_FIELDS))
+    if unknown:
+        raise GraphQueryError("unknown-field", fields=unknown)
     added = graph.entities.sparkSession.createDataFrame([tuple(row.get(n) for n in names)], ENTITIES)
-    return _checked_scale(_next(graph, entities=graph.entities.select(*names).unionByName(added)), component["id"])
+    held = graph.entities
+    if own or set(row) & set(OPEN_FIELDS) or set(held.columns) & set(OPEN_FIELDS):
+        held = with_open_fields(held)
+        added = with_open_fields(added.withColumns({c: F.lit(row[c]) for c in ("icon_domain", "lifecycle") if row.get(c) is not None}))
+        if own:
+            added = added.withColumn("extensions", patched(F.col("extensions"), own))
+    return _checked_scale(_next(graph, entities=held.unionByName(added.select(*held.columns))), component["id"])
 
 
 def update_component(graph: GraphFrames, id_: str, patch: dict) -> GraphFrames:
-    """Change the fields that the patch names; None clears one. The parent changes only by reparenting."""
-    if "parent" in patch or set(patch) - set(_CLEARABLE):
-        raise GraphQueryError("invalid-patch", fields=sorted(set(patch) - set(_CLEARABLE)))
+    """Change the fields that the patch names. None clears a fixed field, but is stored as null in an extension.
+
+    The parent changes only by reparenting.
+    """
+    extensions = {k: v for k, v in patch.items() if is_extension(k)}
+    wrong = sorted(set(patch) - set(_CLEARABLE) - set(extensions))
+    if wrong:
+        raise GraphQueryError("invalid-patch", fields=wrong)
     own = resolve_id(graph, id_)
-    kinds = dict(graph.entities.dtypes)
-    new = {f: F.when(F.col("id") == own, F.lit(v).cast(kinds[f])).otherwise(F.col(f)) for f, v in patch.items()}
-    return _checked_scale(_next(graph, entities=graph.entities.withColumns(new)), own)
+    entities = with_open_fields(graph.entities) if set(patch) - set(graph.entities.columns) else graph.entities
+    kinds, hit = dict(entities.dtypes), F.col("id") == own
+    new = {f: F.when(hit, F.lit(v).cast(kinds[f])).otherwise(F.col(f)) for f, v in patch.items() if f not in extensions}
+    if extensions:
+        new["extensions"] = F.when(hit, patched(F.col("extensions"), extensions)).otherwise(F.col("extensions"))
+    return _checked_scale(_next(graph, entities=entities.withColumns(new)), own)
 
 
 def reparent_component(graph: GraphFrames, id_: str, parent: str | None) -> GraphFrames:

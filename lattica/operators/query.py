@@ -12,6 +12,7 @@ from ..plans.errors import GraphQueryError
 from ..plans.graph import GraphFrames
 from ..plans.ordering import with_rank_in
 from ..plans.paging import Page, canonical_size, page
+from ..plans.payloads import extension_is, is_extension, with_open_fields
 from .aliases import resolve_aliases
 
 #: Hops of one alias chain that are followed one by one; longer ones go by doubling.
@@ -74,13 +75,22 @@ def catalog_entry(graph: GraphFrames, id_: str) -> DataFrame:
 def _criteria(payload: dict | None) -> Column:
     out = F.lit(True)
     for field, value in sorted((payload or {}).items()):
-        out = out & (F.col(field).isNull() if value is None else S.payload_is(F.col(field), value))
+        if is_extension(field):
+            out = out & extension_is(F.col("extensions"), field, value)
+        else:
+            out = out & (F.col(field).isNull() if value is None else S.payload_is(F.col(field), value))
     return out
 
 
 def entities_where(graph: GraphFrames, kind: str | None = None, payload: dict | None = None) -> DataFrame:
-    """Entities of a kind whose fields equal the criteria; an absent field matches only None."""
-    out = graph.entities.where(_criteria(payload))
+    """Entities of a kind whose fields equal the criteria.
+
+    An absent field matches only None; of an extension, None asks for a null that is there.
+    """
+    out = graph.entities
+    if any(is_extension(field) for field in payload or {}):
+        out = with_open_fields(out)
+    out = out.where(_criteria(payload)).select(*graph.entities.columns)
     return out.where(F.col("kind") == kind) if kind else out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import minted_id
 from ..plans.graph import GraphFrames
+from ..plans.payloads import canonical_text, with_open_fields
 from .aliases import resolve_aliases
 from .observe import absent_keys, complete_kinds
 
@@ -108,6 +109,8 @@ def apply_actions(graph: GraphFrames, components: DataFrame | None = None, relat
     Creates and updates set the fields that the actions carry; components never go, relations go by `remove`.
     """
     entities, edges = graph.entities, graph.relations
+    if components is not None and set(fields) - set(entities.columns):
+        entities = with_open_fields(entities)
     takes = F.col("action").isin("create", "update", "recreate")
     if components is not None:
         new = components.where(takes).select(F.col("component_id").alias("id"), F.col("action").alias("__a"), *[F.col(f).alias(f"__{f}") for f in fields])
@@ -137,9 +140,12 @@ def touched(actions: DataFrame, entities: DataFrame, relations: DataFrame) -> Da
 
 def same_content(a: DataFrame, b: DataFrame, without: tuple[str, ...] = ("epoch",)) -> DataFrame:
     """Rows of one snapshot that the other lacks, as multisets, both ways; empty means nothing to do."""
-    cols = [c for c in a.columns if c not in without]
+    cols = [canonical_text(F.col(c)).alias(c) if t == "variant" else c for c, t in a.dtypes if c not in without]
     x, y = a.select(*cols), b.select(*cols)
-    return x.exceptAll(y).withColumn("side", F.lit("old")).unionByName(y.exceptAll(x).withColumn("side", F.lit("new")))
+    both = x.withColumn("__n", F.lit(1)).unionByName(y.withColumn("__n", F.lit(-1)))
+    left = both.groupBy(*x.columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")  # one shuffle for both ways
+    rows = left.withColumn("side", F.when(F.col("__n") > 0, "old").otherwise("new")).withColumn("__n", F.explode(F.sequence(F.lit(1), F.abs("__n"))))
+    return rows.drop("__n")
 
 
 def replace_source(evidence: DataFrame, source_key: str, own: DataFrame) -> DataFrame:

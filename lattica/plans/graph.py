@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import searchable_text
 from .errors import GraphQueryError
 from .lineage import cut, is_empty
+from .payloads import searchable_parts
 
 ENTITIES = "id string, kind string, name string, label string, summary string, intent string, type string, scale string, shared boolean, parent string"
 RELATIONS = "id string, type string, source string, target string, description string"
@@ -22,7 +23,8 @@ class GraphFrames:
     """One immutable snapshot: entities, relations and aliases of one generation.
 
     entities: id, kind, name, label, summary, intent, type, scale, shared, parent. relations: id, type,
-    source, target, description. aliases: source, target. Null stands for an absent field.
+    source, target, description. aliases: source, target. Null stands for an absent field. Entities may
+    also have the open fields of payloads.py.
     """
 
     entities: DataFrame
@@ -58,6 +60,8 @@ class GraphFrames:
         if self.index is not None:
             return self.index
         parts = [F.col(c) for c in ("id", "kind", *_PAYLOAD)]
+        if "extensions" in self.entities.columns:
+            parts = [F.col("id"), F.col("kind"), searchable_parts(self.entities)]
         return self.entities.withColumn("searchable", searchable_text(parts))
 
     def catalog(self) -> DataFrame:

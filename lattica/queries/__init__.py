@@ -1,7 +1,7 @@
 """The registered queries."""
 
-from . import changes, evidence, graph
+from . import changes, evidence, graph, payload
 
 QUERIES = graph.QUERIES
 ORACLE_SQL = graph.ORACLE_SQL
-__all__ = ["ORACLE_SQL", "QUERIES", "changes", "evidence"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "evidence", "payload"]
