@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table_cut
+from .common import cut, partitions_of, table_cut
 
 
 class Automaton:
@@ -196,13 +196,16 @@ def near_words(words: DataFrame, per_shard: int = 16384, queries: int = 1 << 18)
     pairs are never rows. The driver holds one short row a range.
     """
     total = words.count()
-    routed = []
+    routed, groups = [], 0
     for backward in (False, True):
         shards = _shards(words, F.reverse("word") if backward else F.col("word"), per_shard, total)
         starts = sorted((r["shard"], r["first"]) for r in shards.groupBy("shard").agg(F.min("key").alias("first")).collect())
         asked = _routed(shards, backward, starts, {}).where("query").groupBy("shard").count().collect()
-        routed.append(_routed(shards, backward, starts, {r["shard"]: math.ceil(r["count"] / queries) for r in asked}))
-    rows = routed[0].unionByName(routed[1]).repartition("backward", "shard", "slice").sortWithinPartitions("backward", "shard", "slice", "query", "key")
+        slices = {r["shard"]: math.ceil(r["count"] / queries) for r in asked}
+        groups += sum(slices.get(shard, 1) for shard, _ in starts)
+        routed.append(_routed(shards, backward, starts, slices))
+    # a number of its own: the rows are few bytes but much work, so partitions must not be merged by size
+    rows = routed[0].unionByName(routed[1]).repartition(max(partitions_of(words), groups // 8), "backward", "shard", "slice").sortWithinPartitions("backward", "shard", "slice", "query", "key")
     found = rows.mapInArrow(_answers, "word string, n_near long, form string, form_n long")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), F.col("form"))).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
