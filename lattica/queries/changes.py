@@ -379,22 +379,28 @@ def sequence_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.sequence_problems(messages).select("session", "arrival", "sequence")
 
 
-@registered("session_states", """WITH e AS (SELECT user_id::VARCHAR AS session, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM events),
-    t AS (SELECT *, n - CASE WHEN k = 3 THEN 1000000 ELSE 0 END AS sequence FROM e)
-    SELECT session, sequence, CASE WHEN k >= 5 THEN 'completed' ELSE 'active' END AS status, CASE WHEN k > 5 THEN 'session-ended' WHEN k = 3 THEN 'sequence-not-advancing' WHEN k = 4 THEN 'expiry-heartbeat-mismatch' END AS problem FROM t""", graph=False)
+@registered("session_states", """WITH e AS (SELECT user_id::VARCHAR AS session, user_id % 2 = 0 AS even, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+    SELECT session, n AS arrival, CASE WHEN k >= 4 AND even THEN 'expired' WHEN k >= 5 THEN 'completed' ELSE 'active' END AS status,
+      CASE WHEN k > 5 OR k = 5 AND even THEN 'session-ended' WHEN k = 3 THEN 'sequence-not-advancing' WHEN k = 4 AND NOT even THEN 'expiry-heartbeat-mismatch' END AS problem FROM e""", graph=False)
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session per user: its third message goes back, its fourth expires it by a wrong heartbeat, its fifth completes it."""
+    """A session per user: its second message is a heartbeat, its third goes back, its fourth expires it, of even users by that heartbeat, its fifth completes it."""
     from pyspark.sql import Window
 
     at = _scratch(spark, "stream")
     k, n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")), F.col("event_id").cast("long")
-    none = F.lit(None).cast("string")
-    table(spark, sf_dir, "events").select(
+    beat = F.first(n).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, -2))
+    covered = F.array(F.struct(F.lit("s").alias("scope"), F.array().cast("array<string>").alias("kinds"), F.lit("partial").alias("state")))
+    sent = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("session"), n.alias("arrival"), F.when(k == 3, n - 1_000_000).otherwise(n).alias("sequence"),
-        F.when(k == 4, "expire").when(k == 5, "complete").otherwise("record").alias("type"), none.alias("scope"), none.alias("key"), none.alias("kind"), none.alias("body"), F.lit(7).cast("long").alias("heartbeat"),
-    ).write.parquet(f"{at}/in")
-    sessions.run_available(sessions.session_statuses(spark.readStream.schema(sessions.MESSAGE).parquet(f"{at}/in")), f"{at}/checkpoint", f"{at}/out")
-    return spark.read.schema("session string, sequence long, status string, problem string").parquet(f"{at}/out")
+        F.when(k == 2, "heartbeat").when(k == 4, "expire").when(k == 5, "complete").otherwise("batch").alias("type"), F.when(F.col("user_id") % 2 == 0, beat).otherwise(beat + 1).alias("heartbeat"),
+        F.lit(None).cast("array<string>").alias("scopes"), F.lit(None).cast(sessions.RECORDS).alias("records"), F.when(k == 5, covered).alias("coverage"),
+    )
+    begin = sent.groupBy("session").agg((F.min("arrival") - 1).alias("arrival")).withColumns({
+        "sequence": F.col("arrival"), "type": F.lit("begin"), "heartbeat": F.lit(None).cast("long"), "scopes": F.array(F.lit("s")), "records": F.lit(None).cast(sessions.RECORDS), "coverage": F.lit(None).cast(sessions.COVERAGE),
+    })
+    sent.unionByName(begin).write.parquet(f"{at}/in")
+    sessions.run_sessions(spark.readStream.schema(sessions.MESSAGE).parquet(f"{at}/in"), f"{at}/checkpoint", f"{at}/out")
+    return sessions.read_receipts(spark, f"{at}/out").where("type <> 'begin'").select("session", "arrival", "status", "problem")
 
 
 @registered("evidence_store", """SELECT source_key, scope, count(*) AS n FROM (SELECT CASE WHEN source = 'src2' THEN 'again' ELSE source END AS source_key, lang AS scope FROM documents) GROUP BY 1, 2""", graph=False)

@@ -392,28 +392,97 @@ def event_sequence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("stream string, arrival long, generation long, status string, batch long").parquet(f"{at}/out").drop("batch")
 
 
+def _session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as five batches of records for each source, one session a source, and what goes wrong in some of them.
+
+    src1: a batch gives a key of an earlier one other content. src2: a batch after the end. src3 never ends, src4 is cancelled.
+    src5 expires by its last heartbeat, src6 is told to by another one. src7: a batch whose sequence goes back. src8: a batch with a
+    scope that was not declared. src9 sends its first batch again. src10 covers no scope at first. src11 does not begin.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("lang", F.lit("-")).alias("lang"), "text")
+    record = F.struct(F.col("lang").alias("scope"), F.col("key"), F.lit("documentation").alias("kind"), F.col("text").alias("body"))
+    part = F.floor(F.col("doc_id") / 20) % 5
+    sent = docs.select("source", part.cast("long").alias("b"), F.col("doc_id").cast("string").alias("key"), "lang", "text")
+    first = docs.where("doc_id = 1").select(F.lit("src1").alias("source"), F.lit(2).cast("long").alias("b"), F.lit("1").alias("key"), "lang", F.lit("other").alias("text"))
+    stray = docs.where("doc_id = 1").select(F.lit("src8").alias("source"), F.lit(1).cast("long").alias("b"), F.lit("x").alias("key"), F.lit("nowhere").alias("lang"), F.lit("x").alias("text"))
+    late = sent.where("b = 0 and source in ('src2', 'src7')").withColumns({"b": F.when(F.col("source") == "src2", 10).otherwise(8).cast("long"), "key": F.concat(F.lit("late-"), "key")})
+    again = sent.where("b = 0 and source = 'src9'").withColumn("b", F.lit(8).cast("long"))
+    batches = sent.unionByName(first).unionByName(stray).unionByName(late).unionByName(again).groupBy("source", "b").agg(F.sort_array(F.collect_list(record)).alias("records"))
+    at = F.col("b") + 1
+    none = {c.split()[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in ("heartbeat long", "scopes array<string>", f"records {sessions.RECORDS}", f"coverage {sessions.COVERAGE}")}
+
+    def message(df: DataFrame, arrival, type_: str, sequence=None, **own) -> DataFrame:
+        own = none | own
+        sequence = (arrival if sequence is None else sequence).cast("long").alias("sequence")
+        return df.select(F.col("source").alias("session"), arrival.cast("long").alias("arrival"), sequence, F.lit(type_).alias("type"), *[own[c].alias(c) for c in none])
+
+    own = docs.groupBy("source").agg(F.sort_array(F.collect_set("lang")).alias("scopes"))
+    covered = F.transform("scopes", lambda x: F.struct(x.alias("scope"), F.array(F.lit("documentation")).alias("kinds"), F.lit("complete").alias("state")))
+    some = lambda *names: own.where(F.col("source").isin(*names))
+    going = F.when(F.col("source") == "src7", F.when(F.col("b") == 8, 1).otherwise(at)).otherwise(at)
+    parts = (
+        message(own.where("source <> 'src11'"), F.lit(0), "begin", scopes=F.col("scopes")), message(batches, at, "batch", going, records=F.col("records")),
+        message(some("src5", "src6"), F.lit(7), "heartbeat"), message(some("src10"), F.lit(7), "complete", coverage=F.array().cast(sessions.COVERAGE)),
+        message(some("src5", "src6"), F.lit(8), "expire", F.lit(None), heartbeat=F.when(F.col("source") == "src5", 7).otherwise(3).cast("long")), message(some("src4"), F.lit(8), "cancel"),
+        message(own.where("source <> 'src3'"), F.lit(10), "complete", coverage=covered),
+    )
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _session_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files of messages, each a micro-batch: the state machine reads nothing of what it took before."""
+    at = _scratch(spark)
+    messages = _session_messages(spark, sf_dir)
+    for when in ("arrival <= 2", "arrival between 3 and 7", "arrival > 7"):
+        messages.where(when).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(sessions.MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    sessions.run_sessions(stream, f"{at}/checkpoint", f"{at}/receipts", sessions.Bounds(batch_records=1_000_000, records=10_000_000, characters=1 << 40))
+    return sessions.read_receipts(spark, f"{at}/receipts")
+
+
+#: Batches of the sessions: which are taken, and why the others are not.
+_SESSIONS = """WITH d AS (SELECT source, doc_id, (doc_id // 20) % 5 AS b FROM documents),
+    s AS (SELECT DISTINCT source FROM documents),
+    m AS (SELECT source, b, count(*) AS n FROM d GROUP BY ALL),
+    bat AS (SELECT source, b + 1 AS arrival, CASE WHEN source = 'src11' THEN 'session-not-begun' WHEN source = 'src1' AND b = 2 THEN 'contradictory-observation'
+        WHEN source = 'src8' AND b = 1 THEN 'undeclared-scope' END AS problem, n, 0 AS again FROM m
+      UNION ALL SELECT source, 11, 'session-ended', n, 0 FROM m WHERE source = 'src2' AND b = 0
+      UNION ALL SELECT source, 9, 'sequence-not-advancing', n, 0 FROM m WHERE source = 'src7' AND b = 0
+      UNION ALL SELECT source, 9, NULL, 0, n FROM m WHERE source = 'src9' AND b = 0),
+    msg AS (SELECT source, 0 AS arrival, 'begin' AS type, NULL AS problem, 0 AS n, 0 AS again FROM s WHERE source <> 'src11'
+      UNION ALL SELECT source, arrival, 'batch', problem, CASE WHEN problem IS NULL THEN n ELSE 0 END, again FROM bat
+      UNION ALL SELECT source, 7, 'heartbeat', NULL, 0, 0 FROM s WHERE source IN ('src5', 'src6')
+      UNION ALL SELECT source, 7, 'complete', 'coverage-mismatch', 0, 0 FROM s WHERE source = 'src10'
+      UNION ALL SELECT source, 8, 'expire', CASE WHEN source = 'src6' THEN 'expiry-heartbeat-mismatch' END, 0, 0 FROM s WHERE source IN ('src5', 'src6')
+      UNION ALL SELECT source, 8, 'cancel', NULL, 0, 0 FROM s WHERE source = 'src4'
+      UNION ALL SELECT source, 10, 'complete', CASE WHEN source = 'src11' THEN 'session-not-begun' WHEN source IN ('src4', 'src5') THEN 'session-ended' END, 0, 0 FROM s WHERE source <> 'src3')"""
+
+
 @registered(
     "session_stream",
-    """WITH t AS (SELECT DISTINCT source AS session, lang AS scope, CASE WHEN source = 'src1' THEN doc_id % 3 ELSE doc_id END AS key, text AS body FROM documents),
-    bad AS (SELECT session FROM t GROUP BY session, scope, key HAVING count(DISTINCT body) > 1)
-    SELECT session, count(*) AS n FROM t WHERE session NOT IN (SELECT session FROM bad) AND session NOT IN ('src3', 'src4') GROUP BY 1""",
+    _SESSIONS + """ SELECT source AS session, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS keys FROM d JOIN bat USING (source)
+    WHERE problem IS NULL AND again = 0 AND arrival = b + 1 AND source NOT IN ('src3', 'src4', 'src5', 'src11') GROUP BY source""",
     graph=False,
 )
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as record messages of one session per source; one contradicts itself, two do not complete."""
-    at = _scratch(spark)
-    docs = table(spark, sf_dir, "documents")
-    none = F.lit(None).cast("string")
-    records = docs.select(
-        F.col("source").alias("session"), F.col("doc_id").alias("arrival"), F.col("doc_id").alias("sequence"), F.lit("record").alias("type"), F.col("lang").alias("scope"),
-        F.when(F.col("source") == "src1", F.col("doc_id") % 3).otherwise(F.col("doc_id")).cast("string").alias("key"), F.lit("documentation").alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("heartbeat"),
-    )
-    ends = docs.select("source").distinct().where("source not in ('src3', 'src4')").select(
-        F.col("source").alias("session"), F.lit(1 << 40).alias("arrival"), F.lit(1 << 40).alias("sequence"), F.lit("complete").alias("type"), none.alias("scope"), none.alias("key"), none.alias("kind"), none.alias("body"), F.lit(None).cast("long").alias("heartbeat")
-    )
-    records.unionByName(ends).write.parquet(f"{at}/in")
-    sessions.run_sessions(spark.readStream.schema(sessions.MESSAGE).parquet(f"{at}/in"), f"{at}/checkpoint", f"{at}/records", f"{at}/receipts")
-    return sessions.published_records(spark, f"{at}/records", f"{at}/receipts").groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    """What the sessions that completed publish: nothing of refused batches, nothing that came after the end."""
+    out = sessions.published_records(_session_receipts(spark, sf_dir))
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("key").cast("long"))), lambda x: x.cast("string")), ",")
+    return out.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.md5(keys).alias("keys"))
+
+
+@registered(
+    "session_receipts",
+    _SESSIONS + """ SELECT source AS session, arrival::BIGINT AS arrival, type, problem, n::INT AS accepted, again::INT AS replayed, CASE WHEN source = 'src11' THEN 0
+      ELSE sum(n) OVER (PARTITION BY source ORDER BY arrival ROWS UNBOUNDED PRECEDING) END::BIGINT AS total FROM msg""",
+    graph=False,
+)
+def session_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every message: a refused one changes nothing, and its session goes on."""
+    return _session_receipts(spark, sf_dir).select("session", "arrival", "type", "problem", "accepted", "replayed", "total")
 
 
 @registered("document_summary")

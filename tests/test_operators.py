@@ -221,40 +221,6 @@ def test_stores(spark, tmp_path):
     assert stores.register_project(projects, {"id": "p", "root": "/q"}, 1).first()["revision"] == 2
 
 
-def test_session_stream(spark, tmp_path):
-    src, rec, rcp, chk = (str(tmp_path / n) for n in ("in", "records", "receipts", "chk"))
-    send = lambda *m: spark.createDataFrame([(x[0], x[1], *x[1:]) for x in m], sessions.MESSAGE).coalesce(1).write.mode("append").parquet(src)
-    run = lambda: sessions.run_sessions(spark.readStream.schema(sessions.MESSAGE).parquet(src), chk, rec, rcp)
-    send(("a", 1, "record", "s", "k", "action", "x", None), ("b", 1, "record", "s", "k", "action", "x", None))
-    run()
-    send(("a", 2, "record", "s", "k", "action", "x", None), ("a", 3, "complete", None, None, None, None, None), ("b", 2, "record", "s", "k", "action", "OTHER", None))
-    run()
-    receipts = rows(spark.read.parquet(rcp), "batch", "session", "received", "accepted", "refused")
-    assert receipts == [(0, "a", 1, 1, False), (0, "b", 1, 1, False), (1, "a", 1, 0, False), (1, "b", 1, 0, True)]
-    assert rows(sessions.published_records(spark, rec, rcp), "session", "key") == [("a", "k")]
-
-
-def test_session_states(spark, tmp_path):
-    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
-    m = [("a", 1, "heartbeat", 0), ("a", 2, "expire", 9), ("a", 3, "expire", 1), ("a", 4, "record", 0), ("b", 2, "record", 0), ("b", 2, "record", 0), ("b", 3, "complete", 0)]
-    spark.createDataFrame([(s, k, q, t, None, None, None, None, h) for k, (s, q, t, h) in enumerate(m)], sessions.MESSAGE).coalesce(1).write.parquet(src)
-    sessions.run_available(sessions.session_statuses(spark.readStream.schema(sessions.MESSAGE).parquet(src)), chk, out)
-    got = [(r["session"], r["sequence"], r["status"], r["problem"]) for r in spark.read.parquet(out).orderBy("session", "sequence").collect()]
-    assert got[:4] == [("a", 1, "active", None), ("a", 2, "active", "expiry-heartbeat-mismatch"), ("a", 3, "expired", None), ("a", 4, "expired", "session-ended")]
-    assert ("b", 2, "active", "sequence-not-advancing") in got and got[-1] == ("b", 3, "completed", None)
-
-
-def test_sessions_that_go_back(spark, tmp_path):
-    """In order of arrival, within one micro-batch and across two."""
-    src, out, chk = (str(tmp_path / x) for x in ("m", "o", "c"))
-    run = lambda: sessions.run_available(sessions.session_statuses(spark.readStream.schema(sessions.MESSAGE).parquet(src)), chk, out)
-    for part in ([(1, 1), (2, 3), (3, 2)], [(4, 3), (5, 4)]):
-        spark.createDataFrame([("a", at, q, "record", None, None, None, None, None) for at, q in part], sessions.MESSAGE).coalesce(1).write.mode("append").parquet(src)
-        run()
-    bad = spark.read.parquet(out).where("problem is not null")
-    assert sorted((r["sequence"], r["problem"]) for r in bad.collect()) == [(2, "sequence-not-advancing"), (3, "sequence-not-advancing")]
-
-
 def test_two_writers_of_one_generation(spark, tmp_path):
     from lattica.plans.graph import ALIASES, RELATIONS
 
@@ -280,20 +246,6 @@ def test_two_writers_of_one_generation(spark, tmp_path):
     assert [r["name"] for r in back.entities.collect()] == ["winner"] and back.searchable().first()["searchable"].startswith("e1\n")
 
 
-def test_session_states_across_frames(spark, tmp_path):
-    """A session that Spark hands over in several frames, the last messages first."""
-    src, out, chk = (str(tmp_path / x) for x in ("m", "o", "c"))
-    m = [("a", q, q, "complete" if q == 9 else "record", None, None, None, None, None) for q in range(9, 0, -1)]
-    spark.createDataFrame(m, sessions.MESSAGE).coalesce(1).write.parquet(src)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        sessions.run_available(sessions.session_statuses(spark.readStream.schema(sessions.MESSAGE).parquet(src)), chk, out)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = [(r["sequence"], r["status"], r["problem"]) for r in spark.read.parquet(out).orderBy("sequence").collect()]
-    assert got == [(q, "completed" if q == 9 else "active", None) for q in range(1, 10)]
-
-
 def test_scanners(spark, tmp_path):
     from lattica.sources.scanner import Scanner, scan_resources
 
