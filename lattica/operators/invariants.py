@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import RELATION_ID, ENTITY_ID, SCALES, icon_domain_valid, kind_valid, label_valid, open_token_valid, summary_valid
+from ..functions.scalars import RELATION_ID, ENTITY_ID, SCALES, icon_domain_valid, kind_valid, label_valid, open_token_valid, scale_rank, summary_valid
+from ..plans.errors import GraphQueryError
 from ..plans.graph import GraphFrames
+from ..plans.lineage import cut, is_empty
 from ..plans.payloads import extension_problems
 from .derive import scale_violations
 from .hierarchy import containment_cycles
@@ -110,3 +112,59 @@ def removal_blockers(graph: GraphFrames, targets: DataFrame) -> DataFrame:
         n = df.join(own, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.lit(name).alias("blocker"), "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def changed_cycles(entities: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id) of the changed entities that lie on a containment cycle: every cycle that a change closes holds one of them.
+
+    Walks up from the changed entities alone, all at once, a join with the parents a level. Who arrives at an entity that was
+    found on a cycle stops there, so the walk ends although cycles do not.
+    """
+    parents = entities.where("parent is not null").select("id", "parent")
+    at = cut(changed.select("id").distinct().join(parents, "id").select("id", F.col("parent").alias("at")))
+    found = None
+    while not is_empty(at):
+        back = at.where("id = at").select("id")
+        if not is_empty(back):
+            found = cut(back if found is None else found.unionByName(back))
+        going = at if found is None else at.join(found.select(F.col("id").alias("at")), "at", "left_anti")
+        at = cut(going.join(parents.select(F.col("id").alias("at"), "parent"), "at").select("id", F.col("parent").alias("at")).distinct())
+    return at.select("id") if found is None else found.distinct()
+
+
+def delta_diagnostics(graph: GraphFrames, entities: DataFrame, relations: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, problem) like graph_diagnostics(), of a graph that was fine before these ids changed or went.
+
+    entities, relations: ids that were added or changed; gone: ids of entities that are no more. Looked at are the
+    changed rows, relations that ended at what is gone, and members of what changed or is gone.
+    """
+    named = lambda df, col, problem: df.select(F.col(col).alias("id"), F.lit(problem).alias("problem"))
+    touched, gone = cut(entities.select("id").distinct()), cut(gone.select("id").distinct())
+    own = cut(graph.entities.join(touched, "id", "left_semi"))
+    edges = graph.relations.join(relations.select("id").distinct(), "id", "left_semi")
+    loose = graph.relations.join(gone.select(F.col("id").alias("source")), "source", "left_semi").unionByName(
+        (graph.incoming if graph.incoming is not None else graph.relations).join(gone.select(F.col("id").alias("target")), "target", "left_semi").select(*graph.relations.columns)
+    )
+    near = cut(edges.unionByName(loose).dropDuplicates(["id", "source", "target"]))
+    ends = near.select(F.col("id").alias("relation"), F.explode(F.array("source", "target")).alias("id"))
+    lost = ends.join(graph.entities.select("id"), "id", "left_anti").select(F.col("relation").alias("id")).distinct()
+    members = graph.entities.where("parent is not null").join(touched.unionByName(gone).select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    below = cut(own.where("parent is not null").select("id", "parent", "scale").unionByName(members.select("id", "parent", "scale")).distinct())
+    above = graph.entities.select(F.col("id").alias("parent"), F.col("scale").alias("parent_scale"))
+    orphans = below.join(graph.entities.select(F.col("id").alias("parent")), "parent", "left_anti")
+    coarse = below.where("scale is not null").join(above, "parent").where(scale_rank(F.col("scale")) < scale_rank(F.col("parent_scale")))
+    out = named(duplicate_ids(own), "id", "duplicate-entity").unionByName(named(duplicate_ids(edges), "id", "duplicate-relation"))
+    for more in (
+        named(lost, "id", "unknown-endpoint"), named(own.where("id = parent"), "id", "self-containment"), named(orphans, "id", "unknown-parent"),
+        named(changed_cycles(graph.entities.where("id <> parent or parent is null"), touched), "id", "containment-cycle"),
+        field_problems(own), relation_problems(edges), named(coarse, "id", "scale-coarser-than-parent"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def refuse_problems(problems: DataFrame, most: int = 20) -> None:
+    """Raise invariant-violation with the first problems of a table (id, problem), if it has any."""
+    found = problems.orderBy("problem", "id").limit(most).collect()
+    if found:
+        raise GraphQueryError("invariant-violation", found[0]["problem"], problems=[(r["id"], r["problem"]) for r in found])

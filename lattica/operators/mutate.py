@@ -9,7 +9,7 @@ from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
 from ..plans.lineage import is_empty
 from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
-from .invariants import duplicate_ids, parent_problems, removal_blockers
+from .invariants import delta_diagnostics, duplicate_ids, parent_problems, refuse_problems, removal_blockers
 from .query import resolve_id
 
 _CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared", "icon_domain", "lifecycle")
@@ -131,7 +131,8 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
     """Apply many mutations as merges: components (op and the entity fields), relations (op and theirs), new aliases.
 
     op is create, update or remove; order is components, relations, aliases, then endpoints follow aliases.
-    Refused are ids that the batch names twice, new ones that are held and changes of ones that are not.
+    Refused are ids that the batch names twice, new ones that are held and changes of ones that are not, and a batch whose
+    final graph breaks an invariant: only what it touches is looked at.
     """
 
     def merged(old: DataFrame, changes: DataFrame, what: str) -> DataFrame:
@@ -148,7 +149,16 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
         graph, entities=merged(graph.entities, components, "entity"), relations=merged(graph.relations, relations, "relation"),
         aliases=graph.aliases.unionByName(aliases.select("source", "target")),
     )
-    return out.resolved()
+    out = out.resolved()
+    live = "op <> 'remove'"
+    moved = aliases.select(F.col("source").alias("id"))  # members and relations of these now hang on the targets
+    rehung = graph.entities.join(moved.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id")
+    rebound = graph.relations.join(moved.withColumnRenamed("id", "source"), "source", "left_semi").select("id").unionByName(
+        graph.relations.join(moved.withColumnRenamed("id", "target"), "target", "left_semi").select("id")
+    )
+    changed, gone = components.where(live).select("id").unionByName(rehung), components.where(~F.expr(live)).select("id")
+    refuse_problems(delta_diagnostics(out, changed, relations.where(live).select("id").unionByName(rebound), gone))
+    return out
 
 
 def transact(graph: GraphFrames, change, invariants=(), expected_generation: int | None = None, most: int = 1000) -> tuple[str, GraphFrames, list]:

@@ -109,12 +109,13 @@ class GraphFrames:
 
 
 def load_graph(entities: DataFrame, relations: DataFrame, aliases: DataFrame, expected_kind: str | None = None, generation: int = 0) -> GraphFrames:
-    """A checked snapshot: unique ids, aliases that end at live entities, endpoints that resolve.
+    """A checked snapshot: unique ids, aliases that end at live entities, endpoints that resolve, sound containment and scales.
 
     Raises GraphQueryError with the first failed check's code.
     """
     from ..operators.aliases import alias_problems
-    from ..operators.invariants import dangling_endpoints, duplicate_ids
+    from ..operators.derive import scale_violations
+    from ..operators.invariants import dangling_endpoints, duplicate_ids, parent_problems
 
     for df, code in ((entities, "duplicate-entity"), (relations, "duplicate-relation")):
         if not is_empty(duplicate_ids(df, "id")):
@@ -126,6 +127,12 @@ def load_graph(entities: DataFrame, relations: DataFrame, aliases: DataFrame, ex
     graph = graph.resolved()
     if not is_empty(dangling_endpoints(graph)):
         raise GraphQueryError("unknown-endpoint")
+    held = cut(graph.entities.select("id", "parent", "scale"))
+    unsound = parent_problems(held).limit(1).collect()
+    if unsound:
+        raise GraphQueryError(unsound[0]["problem"], id=unsound[0]["id"])
+    if not is_empty(scale_violations(held)):
+        raise GraphQueryError("scale-coarser-than-parent")
     if expected_kind and not is_empty(entities.where(F.col("kind") != expected_kind)):
         raise GraphQueryError("wrong-entity-kind")
     return graph

@@ -1,7 +1,7 @@
 """The registered queries."""
 
-from . import changes, evidence, graph, payload
+from . import changes, evidence, graph, merge, payload
 
 QUERIES = graph.QUERIES
 ORACLE_SQL = graph.ORACLE_SQL
-__all__ = ["ORACLE_SQL", "QUERIES", "changes", "evidence", "payload"]
+__all__ = ["ORACLE_SQL", "QUERIES", "changes", "evidence", "merge", "payload"]
