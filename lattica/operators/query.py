@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.errors import GraphQueryError
 from ..plans.graph import GraphFrames
+from ..plans.lists import CHUNK, chunked, gram_candidates
 from ..plans.ordering import with_rank_in
 from ..plans.paging import Page, canonical_size, page
 from ..plans.payloads import extension_is, is_extension, with_open_fields
@@ -95,8 +96,14 @@ def entities_where(graph: GraphFrames, kind: str | None = None, payload: dict |
 
 
 def search_entities(graph: GraphFrames, text: str, kind: str | None = None, payload: dict | None = None) -> DataFrame:
-    """Entities whose searchable text contains every term of the text, as substrings, without ranking."""
-    found = graph.searchable().where(S.contains_all(F.col("searchable"), S.search_terms(text))).drop("searchable")
+    """Entities whose searchable text contains every term of the text, as substrings, without ranking.
+
+    A stored snapshot with grams reads only the rows that hold the rarest grams of the terms, and checks those.
+    """
+    terms = S.search_terms(text)
+    near = gram_candidates(graph.index, graph.grams, terms) if graph.grams is not None else None
+    rows = graph.searchable() if near is None else near.drop("ordinal")
+    found = rows.where(S.contains_all(F.col("searchable"), terms)).drop("searchable")
     return entities_where(graph.with_frames(entities=found), kind, payload)
 
 
@@ -167,10 +174,17 @@ def relations_view(graph: GraphFrames) -> DataFrame:
     return graph.relations.select("id", "type", "source", "target", "description", S.relation_label(F.col("type")).alias("label"))
 
 
-def component_detail(graph: GraphFrames, id_: str, bindings: DataFrame, limit: int = 100, cursor: str | None = None) -> tuple[DataFrame, Page]:
-    """A component with its evidence flag, and a page of its outgoing relations."""
+def component_detail(
+    graph: GraphFrames, id_: str, bindings: DataFrame, limit: int = 100, cursor: str | None = None, measurements: DataFrame | None = None, paths: DataFrame | None = None, each: int = 32
+) -> tuple[DataFrame, Page]:
+    """A component with its evidence flag, and a page of its outgoing relations.
+
+    measurements and paths add what with_observations() says of the component; only its own rows of them are read.
+    """
     own = resolve_id(graph, id_)
     view = with_evidence(graph, graph.entities.where(F.col("id") == own), bindings)
+    if measurements is not None and paths is not None:
+        view = with_observations(view, measurements.where(F.col("component") == own), paths.where(F.col("component") == own), each)
     out = graph.relations.where(F.col("source") == own)
     return view, page(out, "id", limit, {"op": "component", "id": own}, graph, cursor)
 
@@ -220,3 +234,30 @@ def export_pages(graph: GraphFrames, bindings: DataFrame, limit: int = 25, most_
         if cursor is None:
             return
     raise GraphQueryError("export-bound-exceeded", pages=most_pages)
+
+
+def export_rows(graph: GraphFrames, bindings: DataFrame, measurements: DataFrame, paths: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The export as rows of bounded size: place, id, part, chunk, component, relations, paths.
+
+    part 0 is the component with its evidence flag and measurements, part 1 a chunk of its outgoing relations, part 2 a chunk of the
+    paths it was seen in. In order of `place` a component comes first, then its chunks, so pages of rows are pages of the export however
+    many relations a component has. measurements: what derive.single_measurements() gives; paths: component, project, scanner, resource.
+    """
+    own = list_components(graph).select("id", "name", "scale", "parent")
+    m = measurements.groupBy(F.col("component").alias("id")).agg(F.sort_array(F.collect_list(F.struct("project", "scanner", "instance", "version", "value"))).alias("measurements"))
+    full = with_evidence(graph, own.join(m, "id", "left"), bindings)
+    full = full.withColumn("measurements", F.coalesce("measurements", F.array().cast(full.schema["measurements"].dataType)))
+    relation = F.struct(F.col("id").alias("relation"), "type", "target")
+    rel = chunked(graph.relations.join(own.select(F.col("id").alias("source")), "source", "left_semi").select("source", relation.alias("item")), "source", "item", size)
+    seen = chunked(paths.join(own.select(F.col("id").alias("component")), "component", "left_semi").select("component", F.struct("project", "scanner", "resource").alias("item")), "component", "item", size)
+    none = {"component": F.lit(None), "relations": F.lit(None), "paths": F.lit(None)}
+    first = full.select("id", F.struct("name", "scale", "parent", "evidence_bound", "measurements").alias("component"))
+    kinds = {"component": first.schema["component"].dataType, "relations": rel.schema["items"].dataType, "paths": seen.schema["items"].dataType}
+
+    def rows(df: DataFrame, part: int, id_: str, chunk: Column, name: str, value: str) -> DataFrame:
+        cells = [(F.col(value) if c == name else e).cast(kinds[c]).alias(c) for c, e in none.items()]
+        place = F.concat_ws(":", F.col(id_), F.lit(str(part)), F.lpad(chunk.cast("string"), 10, "0"))
+        return df.select(place.alias("place"), F.col(id_).alias("id"), F.lit(part).alias("part"), chunk.cast("long").alias("chunk"), *cells)
+
+    out = rows(first, 0, "id", F.lit(0), "component", "component").unionByName(rows(rel, 1, "owner", F.col("chunk"), "relations", "items"))
+    return out.unionByName(rows(seen, 2, "owner", F.col("chunk"), "paths", "items"))

@@ -35,9 +35,11 @@ class GraphFrames:
     index: DataFrame | None = None
     #: the relations again, stored by target
     incoming: DataFrame | None = None
+    #: which rows of the index hold each string of three characters, where a store holds that
+    grams: DataFrame | None = None
 
     def with_frames(self, **frames) -> GraphFrames:
-        return replace(self, **({"index": None} if "entities" in frames else {}), **({"incoming": None} if "relations" in frames else {}), **frames)
+        return replace(self, **({"index": None, "grams": None} if "entities" in frames else {}), **({"incoming": None} if "relations" in frames else {}), **frames)
 
     def resolved(self) -> GraphFrames:
         """The snapshot with relation endpoints and parents rewritten to live entities through the aliases.
@@ -58,7 +60,7 @@ class GraphFrames:
     def searchable(self) -> DataFrame:
         """entities with `searchable`: normalised id, kind and string fields, one to a line."""
         if self.index is not None:
-            return self.index
+            return self.index.drop("ordinal")
         parts = [F.col(c) for c in ("id", "kind", *_PAYLOAD)]
         if "extensions" in self.entities.columns:
             parts = [F.col("id"), F.col("kind"), searchable_parts(self.entities)]
