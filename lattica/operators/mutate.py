@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
 from ..plans.lineage import is_empty
 from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
-from .invariants import delta_diagnostics, duplicate_ids, parent_problems, refuse_problems, removal_blockers
+from .invariants import delta_diagnostics, duplicate_ids, parent_problems, refuse_problems, removal_blockers, stale_revisions
 from .query import resolve_id
 
 _CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared", "icon_domain", "lifecycle")
@@ -193,3 +193,44 @@ def with_retries(read, change, write, attempts: int = 5):
         except GraphQueryError as e:
             if e.code != "stale-generation" or not left:
                 raise
+
+
+def component_revisions(graph: GraphFrames, ids: DataFrame) -> DataFrame:
+    """(resource, revision) of the components (id) that live: a hash of the component and of its outgoing relations, in no order.
+
+    Revisions are a function of content, so they are taken where they are compared, of the rows that a batch names alone.
+    """
+    own = graph.entities.join(ids.select("id").distinct(), "id", "left_semi")
+    out = graph.relations.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+
+    def digest(df: DataFrame) -> Column:
+        cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
+        return F.sha2(F.concat_ws("\x1f", *cells), 256)
+
+    word = F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)")
+    edges = out.select("source", digest(out).alias("d")).groupBy("source").agg(F.sum(word).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    met = own.select("id", digest(own).alias("d")).join(edges, F.col("id") == F.col("source"), "left")
+    return met.select(F.col("id").alias("resource"), F.sha2(F.concat_ws(":", "d", F.coalesce(F.col("__s"), F.lit(0)).cast("string"), F.coalesce(F.col("__n"), F.lit(0)).cast("string")), 256).alias("revision"))
+
+
+def commit_batch(spark, root: str, components: DataFrame, relations: DataFrame, aliases: DataFrame, expected: DataFrame, attempts: int = 5) -> tuple[str, int, list[str]]:
+    """Apply a batch to the newest stored generation and commit it: (outcome, generation, resources that moved).
+
+    expected: (resource, revision) as the writer saw them, null for what it is to create. Only those are compared, so
+    writers of different components both commit, each on what the other left; of two that change one component the
+    second is told `conflict`.
+    """
+    from ..sources import stores
+
+    for _ in range(attempts):
+        graph = stores.read_generation(spark, root)
+        actual = component_revisions(graph, expected.select(F.col("resource").alias("id")))
+        moved = sorted(r["resource"] for r in stale_revisions(expected, actual).collect())  # of the batch's own list
+        if moved:
+            return "conflict", graph.generation, moved
+        try:
+            return "committed", stores.write_generation(apply_batch(graph, components, relations, aliases), root), []
+        except GraphQueryError as e:
+            if e.code not in ("stale-generation", "attempt-settled"):
+                raise
+    raise GraphQueryError("transaction-conflict", attempts=attempts)

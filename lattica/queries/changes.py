@@ -265,13 +265,21 @@ def customer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registered("icon_domains", r"""WITH h AS (SELECT page_id, regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^/?#]*') AS h FROM pages)
-    SELECT page_id, length(h) <= 253 AND contains(h, '.') AND regexp_full_match(h, '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)(\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*')
-      AND NOT regexp_full_match(h, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS domain, length(h) BETWEEN 1 AND 280 AND trim(h) = h AND NOT regexp_matches(h, '[[:cntrl:]]') AS summary FROM h WHERE h IS NOT NULL""", graph=False)
+@registered("icon_domains", r"""WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^/?#]*') AS h FROM pages WHERE url IS NOT NULL),
+    h AS (SELECT page_id, form, CASE form WHEN 'plain' THEN h WHEN 'upper' THEN upper(h) WHEN 'address' THEN (page_id % 256) || '.0.0.1' WHEN 'short' THEN split_part(h, '.', 1) WHEN 'dash' THEN '-' || h
+      WHEN 'dot' THEN h || '.' WHEN 'long' THEN repeat('a', 64) || '.' || h ELSE ' ' || h END AS h FROM p, (VALUES ('plain'), ('upper'), ('address'), ('short'), ('dash'), ('dot'), ('long'), ('space')) t(form))
+    SELECT page_id, form, length(h) <= 253 AND contains(h, '.') AND regexp_full_match(h, '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)(\.[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)*')
+      AND NOT regexp_full_match(h, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS domain, length(h) BETWEEN 1 AND 280 AND trim(h) = h AND NOT regexp_matches(h, '[[:cntrl:]]') AS summary FROM h""", graph=False)
 def icon_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of all pages, as they are and in forms that a domain may not have: capitals, an address, one label, a dash or dot at an end, a long label, a space."""
     host = F.regexp_extract(F.regexp_replace("url", "^[a-z]+://", ""), "^[^/?#]*", 0)
-    own = table(spark, sf_dir, "pages").select("page_id", host.alias("h")).where("h is not null")
-    return own.select("page_id", S.icon_domain_valid(F.col("h")).alias("domain"), S.summary_valid(F.col("h")).alias("summary"))
+    own, h = table(spark, sf_dir, "pages").where("url is not null").select("page_id", host.alias("h")), F.col("h")
+    forms = {
+        "plain": h, "upper": F.upper(h), "address": F.concat((F.col("page_id") % 256).cast("string"), F.lit(".0.0.1")), "short": F.split(h, r"\.")[0], "dash": F.concat(F.lit("-"), h),
+        "dot": F.concat(h, F.lit(".")), "long": F.concat(F.lit("a" * 64 + "."), h), "space": F.concat(F.lit(" "), h),
+    }
+    met = own.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("h")) for k, v in forms.items()])).alias("x")).select("page_id", "x.*")
+    return met.select("page_id", "form", S.icon_domain_valid(h).alias("domain"), S.summary_valid(h).alias("summary"))
 
 
 @registered("surface_labels", " SELECT relation, direction, CASE WHEN type = 'requires' THEN CASE direction WHEN 'outgoing' THEN 'Needs' ELSE 'Needed by' END WHEN direction = 'outgoing' THEN 'Relates to' ELSE 'Related from' END AS label FROM step")
@@ -479,21 +487,79 @@ def reconcile_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", *reconcile.OWNED, "action")
 
 
-@registered("resource_listing", "SELECT 'part-' || n AS name, n < 3 AS first_page FROM range(5) t(n)", graph=False)
+@registered("resource_listing", """WITH k AS (SELECT n_nationkey AS key, n_name, row_number() OVER (ORDER BY 'n_nationkey=' || n_nationkey || '/') - 1 AS place FROM nation)
+    SELECT key, (place // 4)::BIGINT AS page, length(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS content FROM k""", graph=False)
 def resource_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of nations by key, listed in two pages; what lies a folder deeper is not entered."""
+    """A file for each nation in a folder of its own, listed in pages of four behind the last path, and read with its content."""
     root = _scratch(spark, "resources")
-    nations = table(spark, sf_dir, "nation").where("n_nationkey < 5")
-    for n in range(5):
-        nations.where(F.col("n_nationkey") == n).select("n_name").coalesce(1).write.text(f"{root}/deep/part-{n}")
-    fs, at = stores._file_system(spark, root)
-    for n in range(5):
-        own = [s.getPath() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/deep/part-{n}")) if s.getPath().getName().startswith("part-")]
-        fs.rename(own[0], spark._jvm.org.apache.hadoop.fs.Path(f"{root}/part-{n}"))
-    first = [r["path"] for r in stores.resource_page(spark, root, 3, pattern="part-*", depth=0, most_per_folder=5).collect()]
-    second = [r["path"] for r in stores.resource_page(spark, root, 3, first[-1], "part-*", depth=0).collect()]
-    rows = [(p.rpartition("/")[2], True) for p in first] + [(p.rpartition("/")[2], False) for p in second]
-    return spark.createDataFrame(rows, "name string, first_page boolean")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(1).write.partitionBy("n_nationkey").text(root)
+    rows, after, n = [], None, 0
+    while True:
+        page = stores.resource_page(spark, root, 4, after, "part-*").collect()
+        if not page:
+            break
+        rows += [(r["path"], n, r["length"]) for r in page]
+        after, n = page[-1]["path"], n + 1
+    listed = spark.createDataFrame(rows, "path string, page long, bytes long")
+    read = stores.read_resources(spark, root, "part-*", most_bytes=1000).select("path", F.sha2("content", 256).alias("content"))
+    name = F.regexp_extract("path", "/(n_nationkey=[0-9]+/part-[^/]*)$", 1)  # readers and listings write the scheme in their own way
+    met = listed.select(name.alias("name"), "page", "bytes").join(read.select(name.alias("name"), "content"), "name")
+    return met.select(F.regexp_extract("name", "=([0-9]+)/", 1).cast("int").alias("key"), "page", "bytes", "content")
+
+
+@registered("stored_aliases", """WITH t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS f FROM documents)
+    SELECT 'ent_' || md5('document:' || doc_id) AS source, 'ent_' || md5('document:' || f) AS target, 'ent_' || md5('document:' || f) AS id FROM t WHERE doc_id <> f""", graph=False)
+def stored_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents as aliases of the first, stored with it, read back and followed."""
+    from ..sources.star import document_aliases
+
+    live, aliases = document_aliases(spark, sf_dir)
+    graph = _stored(spark, sf_dir, GraphFrames(live, spark.createDataFrame([], RELATIONS), aliases, 1))
+    found = query.resolve_ids(graph, graph.aliases.select(F.col("source").alias("requested")))
+    return graph.aliases.join(found.withColumnRenamed("requested", "source"), "source")
+
+
+@registered("commit_revisions", """, n AS (SELECT 'ent_' || md5('nation:' || n_nationkey) AS id, n_nationkey AS k FROM nation)
+    SELECT 'entity' AS part, ent.id, CASE WHEN k % 2 = 0 THEN 'even ' || k WHEN k % 2 = 1 THEN 'odd ' || k ELSE name END AS said, 3::BIGINT AS generation FROM ent LEFT JOIN n ON n.id = ent.id
+    UNION ALL SELECT * FROM (VALUES ('outcome', 'even', 'committed', 2), ('outcome', 'odd', 'committed', 3), ('outcome', 'even again', 'conflict', 3)) t
+    UNION ALL SELECT 'moved', id, NULL, 3 FROM n WHERE k % 2 = 0""")
+def commit_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers that saw the same generation change different nations and both commit; one that saw the old nations does not."""
+    root = _scratch(spark, "store")
+    stores.write_generation(star_graph(spark, sf_dir), root)
+    seen = stores.read_generation(spark, root)
+    nations = table(spark, sf_dir, "nation").select(entity_id("nation", F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("k"))
+    none = seen.relations.where("false").withColumn("op", F.lit("update")), spark.createDataFrame([], ALIASES)
+    out, moved = [], []
+    for who, rest, said in (("even", 0, "even "), ("odd", 1, "odd "), ("even again", 0, "late ")):
+        own = nations.where(F.col("k") % 2 == rest)
+        changed = seen.entities.join(own, "id").withColumns({"name": F.concat(F.lit(said), F.col("k").cast("string")), "op": F.lit("update")}).drop("k")
+        outcome, generation, lost = mutate.commit_batch(spark, root, changed, *none, mutate.component_revisions(seen, own))
+        out.append(("outcome", who, outcome, generation))
+        moved += [("moved", id_, None, generation) for id_ in lost]
+    now = stores.read_generation(spark, root)
+    rows = spark.createDataFrame(out + moved, "part string, id string, said string, generation long")
+    return now.entities.select(F.lit("entity").alias("part"), "id", F.col("name").alias("said"), F.lit(now.generation).cast("long").alias("generation")).unionByName(rows)
+
+
+@registered("followed_projection", """ SELECT id, CASE WHEN type = 'nation' THEN replace(text, chr(10) || lower(name) || chr(10), chr(10) || 'land of ' || lower(name) || chr(10)) ELSE text END AS searchable,
+    3::BIGINT AS generation, (SELECT count(*) FROM rel WHERE source = searchable.id OR target = searchable.id) AS relations FROM searchable""")
+def followed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits, seen by a stream in two goes: what it shows at last is derived of the third alone."""
+    from ..streaming import projection
+
+    root, shown, check = _scratch(spark, "store"), _scratch(spark, "projection"), _scratch(spark, "stream")
+    graph = star_graph(spark, sf_dir)
+    stores.write_generation(graph, root)
+    projection.run_projection(spark, root, shown, check)
+    for n, said in ((2, "Realm of "), (3, "Land of ")):
+        name = F.when(F.col("type") == "nation", F.concat(F.lit(said), "name")).otherwise(F.col("name"))
+        stores.write_generation(graph.with_frames(entities=graph.entities.withColumn("name", name), generation=n), root)
+    projection.run_projection(spark, root, shown, check)
+    now = projection.read_projection(spark, shown)
+    ends = now.adjacency.select(F.split("owner", ":")[0].alias("id"), F.explode("items").alias("r")).groupBy("id").agg(F.countDistinct("r").alias("relations"))
+    out = now.catalog.join(ends, "id", "left").na.fill(0, ["relations"])
+    return out.select("id", "searchable", F.lit(now.generation).cast("long").alias("generation"), "relations")
 
 
 @registered("retired_by_hook", " SELECT id FROM ent WHERE type = 'part' AND id NOT IN (SELECT target FROM rel WHERE type = 'requires' AND id LIKE 'rel_0%')")
@@ -630,12 +696,15 @@ def reparent_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields(mutate.reparent_component(star_graph(spark, sf_dir), _key(spark, "nation", 1), _key(spark, "region", 4)))
 
 
-@registered("remove_component", f", gone AS (SELECT min(id) AS id FROM ent WHERE type = 'part' AND id NOT IN (SELECT target FROM rel)), p AS ({_FIELDS}) SELECT p.* FROM p, gone WHERE gone.id IS NULL OR p.id <> gone.id")
+@registered("remove_component", f", p AS ({_FIELDS}) SELECT * FROM p WHERE id <> 'ent_' || md5('supplier:3')")
 def remove_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first part that nothing refers to goes; where there is none, all stays."""
+    """A supplier goes, once nothing refers to it: before that it is refused."""
     graph = star_graph(spark, sf_dir)
-    loose = graph.entities.where("type = 'part'").select("id").join(graph.relations.select(F.col("target").alias("id")), "id", "left_anti").agg(F.min("id")).first()[0]
-    return _fields(mutate.remove_component(graph, loose) if loose else graph)
+    own = _key(spark, "supplier", 3)
+    if _code(lambda: mutate.remove_component(graph, own)) != "component-in-use":
+        raise AssertionError("a component in use was removed")
+    loose = graph.with_frames(relations=graph.relations.where(F.col("source") != own))
+    return _fields(mutate.remove_component(loose, own))
 
 
 @registered("change_relations", """, own AS (SELECT id FROM rel WHERE source = 'ent_' || md5('supplier:1') ORDER BY id LIMIT 3), gone AS (SELECT min(id) AS id FROM own), moved AS (SELECT max(id) AS id FROM own)
@@ -720,15 +789,17 @@ ORACLE_SQL["transaction_outcomes"] = """SELECT 'fine' AS name, 'committed' AS ou
 UNION ALL SELECT 'broken', 'rejected', 1, count(*)::INT FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'refused', 'rejected', 1, 1 UNION ALL SELECT 'raced', 'retried', 3, 0"""
 
 
-@registered("new_workspace", "SELECT 'ent_' || md5('component:new') AS id, 'First' AS name, 1::BIGINT AS generation", graph=False)
+@registered("new_workspace", f", p AS ({_FIELDS}) SELECT *, 1::BIGINT AS generation FROM p UNION ALL SELECT NULL, 'entities', NULL, NULL, NULL, NULL, 0")
 def new_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generation 0 is empty; its first component makes generation 1."""
-    root = _scratch(spark, "store")
+    """Generation 0 is empty; one batch that creates the whole star graph makes generation 1."""
+    root, star = _scratch(spark, "store"), star_graph(spark, sf_dir)
     stores.write_generation(empty_graph(spark), root)
-    first = mutate.create_component(stores.read_generation(spark, root), {"id": _key(spark, "component", "new"), "name": "First"})
-    stores.write_generation(first, root)
+    created = lambda df: df.withColumn("op", F.lit("create"))
+    stores.write_generation(mutate.apply_batch(stores.read_generation(spark, root), created(star.entities), created(star.relations), star.aliases), root)
     back = stores.read_generation(spark, root)
-    return back.entities.select("id", "name", F.lit(back.generation).cast("long").alias("generation"))
+    none = stores.read_generation(spark, root, 0).entities.agg(F.count(F.lit(1)).alias("generation"))
+    first = _fields(back).withColumn("generation", F.lit(back.generation).cast("long"))
+    return first.unionByName(none.select(F.lit("entities").alias("name"), "generation"), allowMissingColumns=True)
 
 
 @registered("project_registry", "SELECT n_name AS id, CASE WHEN n_nationkey = 2 THEN '/moved' ELSE '/' || n_nationkey END AS root, CASE WHEN n_nationkey = 2 THEN 2 ELSE 1 END AS revision FROM nation WHERE n_nationkey < 4 AND n_nationkey <> 1", graph=False)

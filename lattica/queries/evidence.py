@@ -44,26 +44,28 @@ def structural_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGNALS_SQL = """
 WITH s AS (SELECT c_custkey AS id, count(DISTINCT o_orderkey) AS export_count, count(*) AS file_count, count(DISTINCT o_orderstatus || o_orderpriority) AS reuse_breadth
-  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
-v AS (SELECT *, CASE WHEN export_count >= 160 THEN 0 WHEN export_count >= 40 THEN 1 WHEN export_count >= 8 THEN 2 ELSE 3 END AS a,
-  CASE WHEN file_count >= 160 THEN 0 WHEN file_count >= 40 THEN 1 WHEN file_count >= 8 THEN 2 ELSE 3 END AS b,
-  CASE WHEN reuse_breadth >= 24 THEN 0 WHEN reuse_breadth >= 8 THEN 1 WHEN reuse_breadth >= 2 THEN 2 ELSE 3 END AS c FROM s),
+  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+  UNION ALL SELECT c_custkey, NULL, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)),
+v AS (SELECT *, CASE WHEN export_count IS NULL THEN NULL WHEN export_count >= 160 THEN 0 WHEN export_count >= 40 THEN 1 WHEN export_count >= 8 THEN 2 ELSE 3 END AS a,
+  CASE WHEN file_count IS NULL THEN NULL WHEN file_count >= 160 THEN 0 WHEN file_count >= 40 THEN 1 WHEN file_count >= 8 THEN 2 ELSE 3 END AS b,
+  CASE WHEN reuse_breadth IS NULL THEN NULL WHEN reuse_breadth >= 24 THEN 0 WHEN reuse_breadth >= 8 THEN 1 WHEN reuse_breadth >= 2 THEN 2 ELSE 3 END AS c FROM s),
 p AS (SELECT *, list_sort(list_distinct([a, b, c])) AS r, ['system', 'domain', 'part', 'element'] AS names FROM v)
 """
 
 
 def _customer_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
-    met = table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"))
-    return met.groupBy(F.col("c_custkey").alias("id")).agg(
-        F.countDistinct("o_orderkey").alias("export_count"), F.count(F.lit(1)).alias("file_count"),
-        F.countDistinct(F.concat("o_orderstatus", "o_orderpriority")).alias("reuse_breadth"),
-    )
+    met = table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    measured = F.count("o_orderkey") > 0  # of a customer without orders nothing is known
+    return met.groupBy(F.col("c_custkey").alias("id")).agg(*[F.when(measured, c).alias(n) for c, n in (
+        (F.countDistinct("o_orderkey"), "export_count"), (F.count(F.lit(1)), "file_count"),
+        (F.countDistinct(F.concat("o_orderstatus", "o_orderpriority")), "reuse_breadth"),
+    )])
 
 
 @registered(
     "scale_proposal",
-    _SIGNALS_SQL + """SELECT id, CASE WHEN len(r) = 1 THEN 'proposed' ELSE 'ambiguous' END AS status, CASE WHEN len(r) = 1 THEN names[r[1] + 1] END AS proposal,
+    _SIGNALS_SQL + """SELECT id, CASE WHEN len(r) = 0 THEN 'insufficient' WHEN len(r) = 1 THEN 'proposed' ELSE 'ambiguous' END AS status, CASE WHEN len(r) = 1 THEN names[r[1] + 1] END AS proposal,
     CASE WHEN len(r) > 1 THEN array_to_string(list_transform(r, lambda x: names[x + 1]), ',') ELSE '' END AS candidates FROM p""",
     graph=False,
 )

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import locator_within
 from ..operators.observe import KINDS
 from ..plans.errors import GraphQueryError
 
@@ -26,13 +25,21 @@ class Scanner:
     scan: Callable[[str, bytes], Iterable[tuple[str, str, str]]]
 
 
+def _scopes_of(resources: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(path, scope) where the resource is a scope's root or lies below it: each path's own prefixes are looked up, paths alone travel."""
+    steps = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    roots = scopes.select("scope", F.rtrim("resource_root", F.lit("/")).alias("__root")).distinct()
+    return resources.select("path", F.explode(prefixes).alias("__root")).distinct().join(roots, "__root").select("path", "scope")
+
+
 def scan_resources(scanner: Scanner, resources: DataFrame, scopes: DataFrame, most_records: int | None = None) -> DataFrame:
     """Observation records of all resources (path, content) that lie in a scope (scope, resource_root).
 
     A record of an unknown kind fails the job. With most_records, more records than that raise
     observation-bound-exceeded. The scanner runs in Arrow batches, one resource at a time.
     """
-    inside = resources.select("path", "content").join(F.broadcast(scopes), locator_within(F.col("path"), F.col("resource_root")))  # a session declares 256 scopes at most
+    inside = resources.select("path", "content").join(_scopes_of(resources, scopes), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
