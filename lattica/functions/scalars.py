@@ -111,11 +111,9 @@ def normalized(col: Column) -> Column:
     return _nfkc_lower(col)
 
 
-def searchable_text(parts: list[Column]) -> Column:
-    """The present parts, one to a line, normalised. Only texts beyond ASCII take the way through Python."""
-    joined = F.concat_ws("\n", *parts)
-    plain = joined.rlike(r"^[\x00-\x7F]*$")
-    return F.when(plain, F.lower(joined)).otherwise(normalized(F.when(~plain, joined)))
+def is_ascii(col: Column) -> Column:
+    """Whether a text needs no more than lower() to be normalised."""
+    return col.rlike(r"^[\x00-\x7F]*$")
 
 
 @F.pandas_udf(StructType().add("values", LongType()).add("depth", LongType()))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import searchable_text
+from ..functions.scalars import is_ascii, normalized
 from .errors import GraphQueryError
 from .lineage import cut, is_empty
 from .payloads import searchable_parts
@@ -64,7 +64,9 @@ class GraphFrames:
         parts = [F.col(c) for c in ("id", "kind", *_PAYLOAD)]
         if "extensions" in self.entities.columns:
             parts = [F.col("id"), F.col("kind"), searchable_parts(self.entities)]
-        return self.entities.withColumn("searchable", searchable_text(parts))
+        joined = self.entities.withColumn("searchable", F.concat_ws("\n", *parts))
+        plain = is_ascii(F.col("searchable"))  # apart, so that no row of these goes through Python
+        return joined.where(plain).withColumn("searchable", F.lower("searchable")).unionByName(joined.where(~plain).withColumn("searchable", normalized(F.col("searchable"))))
 
     def catalog(self) -> DataFrame:
         """The light index: id, kind, searchable."""
