@@ -59,7 +59,9 @@ def gram_lists(index: DataFrame) -> DataFrame:
 
 
 def gram_candidates(index: DataFrame, grams: DataFrame, terms: list[str], listed: int = 500) -> DataFrame | None:
-    """Rows of the index that may hold all terms, by the rarest grams of the terms; None if no term has three characters.
+    """Rows of the index that may hold all terms, by the rarest grams of the terms; None where a scan is no dearer.
+
+    That is where no term has three characters, or where even the rarest gram is in more than a twentieth of the rows.
 
     Which grams are rare is one small read of their counts. Up to `listed` candidates are read by a filter on their ordinals that
     skips row groups, more by a semi-join.
@@ -71,6 +73,8 @@ def gram_candidates(index: DataFrame, grams: DataFrame, terms: list[str], listed
     if len(counts) < len(wanted):
         return index.limit(0)
     rare = sorted(wanted, key=lambda g: (counts[g], g))
+    if counts[rare[0]] * 20 > index.count():  # the rows' number stands in the files' footers
+        return None
     rare = [g for g in rare if counts[g] <= 4 * counts[rare[0]]][:4]
     found = grams.where(F.col("gram").isin(rare)).select("gram", F.explode("ordinals").alias("ordinal"))
     both = found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare)).select("ordinal")
