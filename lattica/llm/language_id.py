@@ -108,7 +108,8 @@ def estimate(grams: pd.DataFrame, langs: list[str], discount: float = 0.75) -> t
         part = grams[grams.k == k]
         by = part.groupby(["lang", "context"]).n.agg(["sum", "count"])
         total = by.loc[pd.MultiIndex.from_frame(part[["lang", "context"]])]["sum"].to_numpy()
-        key = np.unique(part.gram.to_numpy())
+        # what stands before the first letter is never predicted, so it is no gram of its own, but a context of the next order
+        key = np.unique(np.concatenate([part.gram.to_numpy(), grams.loc[grams.k == k + 1, "context"].to_numpy()]))
         share = np.zeros((len(key), len(langs)), np.float32)
         share[np.searchsorted(key, part.gram.to_numpy()), part.lang] = np.maximum(part.n.to_numpy() - discount, 0) / total
         keys.append(key)
