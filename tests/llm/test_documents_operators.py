@@ -475,6 +475,29 @@ def test_passages_in_rows_of_one_word(spark):
     assert got[1][1] >= 60  # as many of its words as the earlier row has
 
 
+def test_passages_of_equal_rows_and_lines(spark):
+    """Equal runs whose seeds are cut or come again: pairs share three rows of 20 copies of a word, among texts that hold
+    two of the rows; others share lines in an order of their own, each of which the texts hold many times."""
+    rng = random.Random(41)
+    texts = []
+    for p in range(12):
+        a, b, c = ([f"w{p}{x}"] * 20 for x in "abc")
+        for other in (a + b, b + c, a + b):
+            texts.append(" ".join(prose(rng, 25) + other + prose(rng, 25)))
+        texts += [" ".join(prose(rng, 30) + a + b + c + prose(rng, 30)) for _ in range(2)]
+    lines = [prose(rng, 9) for _ in range(5)]
+    for _ in range(12):
+        texts.append(" ".join(w for _ in range(60) for w in rng.choice(lines)))
+    texts += [" ".join(["long"] * 3000 + prose(rng, 5)), " ".join(prose(rng, 5) + ["long"] * 50), None, " "]
+    want = covered_words(dict(enumerate(texts)))
+    rows = by_id(passage_dedup.repeated_passages(table(spark, texts)))
+    for d, (shared, early) in want.items():
+        assert rows[d]["n_repeated"] >= shared and rows[d]["n_removed"] >= early, d
+    for p in range(12):
+        # four of five words of a passage match, so that it may go a quarter beyond the equal words
+        assert rows[5 * p + 1]["n_removed"] == 0 and 60 <= rows[5 * p + 4]["n_removed"] <= 75
+
+
 def test_packing_round_trip(spark, odd_documents):
     from tokenizers import Tokenizer
 
