@@ -13,12 +13,13 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
 
     chain: the ids behind source in order, the last one being `resolved`. Each round joins every open
     chain with the chain of its end, so a chain of n aliases takes about log2(n) rounds. Aliases on or
-    into a cycle never end and are left out; see alias_problems().
+    into a cycle never end and are left out; see alias_problems(). A chain's tails are chains too, so where one that is
+    longer than a round reaches is still open, a shorter one has ended in that round: the first round after the longest chain in
+    which none ends is the last, and what never ends is carried no further than what does.
     """
     start = aliases.select("source", F.col("target").alias("resolved"), F.array("target").alias("chain"))
     state = cut(start.withColumn("open", F.lit(True)))
-    n = state.count()
-    done, reached = None, 1
+    done = None
     while True:
         ahead = state.select(F.col("source").alias("__s"), F.col("resolved").alias("__r"), F.col("chain").alias("__c"))
         if done is not None:
@@ -34,9 +35,8 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
         ended = step.where(~F.col("open"))
         done = ended if done is None else done.unionByName(ended)
         state = step.where("open")
-        if is_empty(state) or reached > n:
+        if is_empty(state) or is_empty(ended):
             break
-        reached *= 2
     return done.select("source", "resolved", "chain", F.size("chain").alias("hops"))
 
 
