@@ -9,7 +9,7 @@ from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
 from ..plans.lineage import is_empty
 from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
-from .invariants import delta_diagnostics, duplicate_ids, parent_problems, refuse_problems, removal_blockers, stale_revisions
+from .invariants import delta_diagnostics, has_duplicate_ids, parent_problems, refuse_problems, removal_blockers, stale_revisions
 from .query import resolve_id
 
 _CLEARABLE = ("name", "label", "summary", "intent", "type", "scale", "shared", "icon_domain", "lifecycle")
@@ -136,7 +136,7 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
     """
 
     def merged(old: DataFrame, changes: DataFrame, what: str) -> DataFrame:
-        if not is_empty(duplicate_ids(changes)):
+        if has_duplicate_ids(changes):
             raise GraphQueryError("duplicate-target")
         if not is_empty(changes.where("op = 'create'").join(old.select("id"), "id", "left_semi")):
             raise GraphQueryError(f"duplicate-{what}")
