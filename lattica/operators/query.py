@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.errors import GraphQueryError
 from ..plans.graph import GraphFrames
+from ..plans.lineage import cut
 from ..plans.lists import CHUNK, chunked, gram_candidates
 from ..plans.ordering import with_rank_in
 from ..plans.paging import Page, canonical_size, page
@@ -219,14 +221,16 @@ def with_observations(components: DataFrame, measurements: DataFrame, paths: Dat
 
 
 def export_pages(graph: GraphFrames, bindings: DataFrame, limit: int = 25, most_pages: int = 100, most_bytes: int | None = None) -> Iterator[Page]:
-    """The whole export in pages of one generation; raises export-bound-exceeded if `most_pages` don't hold it.
+    """The whole export in pages of one generation, joined once and written down; raises export-bound-exceeded if `most_pages` don't hold it.
 
     most_bytes: what a page may have as JSON; raises page-too-large.
     """
     fingerprint, cursor = graph.fingerprint(), None
-    full = export_blueprint(graph, bindings)
+    full = cut(export_blueprint(graph, bindings))
     for _ in range(most_pages):
-        own = page(full, "id", limit, {"op": "export"}, graph, cursor, fingerprint)
+        own = page(full.select("id"), "id", limit, {"op": "export"}, graph, cursor, fingerprint)  # ids alone come from every task
+        rows = full.where(F.col("id").isin([r["id"] for r in own.items])).collect() if own.items else []
+        own = replace(own, items=sorted(rows, key=lambda r: r["id"]))
         if most_bytes is not None:
             canonical_size(own.items, most_bytes)
         yield own
