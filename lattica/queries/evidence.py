@@ -435,13 +435,13 @@ def _session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three files of messages, each a micro-batch: the state machine reads nothing of what it took before."""
+    """Messages in three goes, each a micro-batch of many files: the state machine reads nothing of what it took before."""
     at = _scratch(spark)
     messages = _session_messages(spark, sf_dir)
     for when in ("arrival <= 2", "arrival between 3 and 7", "arrival > 7"):
-        messages.where(when).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(sessions.MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    sessions.run_sessions(stream, f"{at}/checkpoint", f"{at}/receipts", sessions.Bounds(batch_records=1_000_000, records=10_000_000, characters=1 << 40))
+        messages.where(when).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(sessions.MESSAGE).parquet(f"{at}/in")
+        sessions.run_sessions(stream, f"{at}/checkpoint", f"{at}/receipts", sessions.Bounds(batch_records=1_000_000, records=10_000_000, characters=1 << 40))
     return sessions.read_receipts(spark, f"{at}/receipts")
 
 
