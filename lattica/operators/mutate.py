@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
-from ..plans.lineage import is_empty
+from ..plans.lineage import cut, is_empty
 from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
 from .invariants import delta_diagnostics, has_duplicate_ids, parent_problems, refuse_problems, removal_blockers, stale_revisions
 from .query import resolve_id
@@ -112,17 +112,21 @@ def remove_component(graph: GraphFrames, id_: str) -> GraphFrames:
 def change_relations(graph: GraphFrames, source: str, upserts: DataFrame, removals: DataFrame) -> GraphFrames:
     """Upsert and remove one component's outgoing relations. upserts: id, type, target, description; removals: id."""
     own = resolve_id(graph, source)
+    upserts, removals = cut(upserts), cut(removals)  # read many times; Spark knows their sizes then
     both = upserts.select("id").unionByName(removals.select("id"))
     if not is_empty(both.groupBy("id").count().where("count > 1")):
         raise GraphQueryError("duplicate-relationship-target")
-    if not is_empty(graph.relations.where(F.col("source") != own).join(both, "id", "left_semi")):
+    held = cut(graph.relations.select("id", "source").join(both, "id", "left_semi"))
+    if not is_empty(held.where(F.col("source") != own)):
         raise GraphQueryError("relationship-id-hijack")
-    if not is_empty(removals.join(graph.relations.select("id"), "id", "left_anti")):
+    if not is_empty(removals.join(held.select("id"), "id", "left_anti")):
         raise GraphQueryError("unknown-relation")
     added = upserts.select("id", "type", F.lit(own).alias("source"), "target", "description")
     rest = graph.relations.join(both, "id", "left_anti")
     out = _next(graph, relations=rest.unionByName(added)).resolved()
-    if not is_empty(out.relations.join(upserts.select("id"), "id", "left_semi").join(out.entities.select(F.col("id").alias("target")), "target", "left_anti")):
+    new = cut(out.relations.join(upserts.select("id"), "id", "left_semi").select("target").distinct())
+    live = cut(out.entities.select(F.col("id").alias("target")).join(new, "target", "left_semi"))
+    if not is_empty(new.join(live, "target", "left_anti")):
         raise GraphQueryError("unknown-endpoint")
     return out
 
@@ -135,12 +139,15 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
     final graph breaks an invariant: only what it touches is looked at.
     """
 
+    components, relations, aliases = cut(components), cut(relations), cut(aliases)  # read many times; Spark knows their sizes then
+
     def merged(old: DataFrame, changes: DataFrame, what: str) -> DataFrame:
         if has_duplicate_ids(changes):
             raise GraphQueryError("duplicate-target")
-        if not is_empty(changes.where("op = 'create'").join(old.select("id"), "id", "left_semi")):
+        held = cut(old.select("id").join(changes.select("id"), "id", "left_semi"))
+        if not is_empty(changes.where("op = 'create'").join(held, "id", "left_semi")):
             raise GraphQueryError(f"duplicate-{what}")
-        if not is_empty(changes.where("op <> 'create'").join(old.select("id"), "id", "left_anti")):
+        if not is_empty(changes.where("op <> 'create'").join(held, "id", "left_anti")):
             raise GraphQueryError(f"unknown-{what}")
         rest = old.join(changes.select("id"), "id", "left_anti")
         return rest.select(*old.columns).unionByName(changes.where("op <> 'remove'").select(*old.columns))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lattica.operators import aliases, invariants, levels, query
+from lattica.operators import aliases, invariants, levels, mutate, query
 from lattica.plans.graph import ALIASES, RELATIONS
 from lattica.plans.lineage import _DROP_SHUFFLES, cut
 from lattica.queries import changes, evidence
@@ -84,3 +84,19 @@ def test_messages_of_sessions_are_written_by_many_tasks(spark, tmp_path, monkeyp
     monkeypatch.setattr(evidence, "_scratch", lambda _: str(tmp_path / "s"))
     assert evidence._session_receipts(spark, "/root/testdata/sf0.001").count() > 0
     assert len(list((tmp_path / "s" / "in").glob("part-*"))) > 3
+
+
+def test_a_small_batch_shuffles_no_relations(spark, monkeypatch):
+    """Every table of a batch is written down, so each join with the graph's relations is a broadcast of the batch's side."""
+    plans = []
+    monkeypatch.setattr(mutate, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    graph = empty_graph(spark)
+    entities = spark.range(3).select(F.concat(F.lit("ent_"), F.lpad(F.col("id").cast("string"), 32, "0")).alias("id"), F.lit("component").alias("kind"))
+    ids = [r[0] for r in entities.orderBy("id").collect()]
+    held = spark.createDataFrame([("rel_" + "a" * 32, "supplies", ids[0], ids[1], None)], RELATIONS)
+    graph = graph.with_frames(entities=graph.entities.unionByName(entities, allowMissingColumns=True), relations=held)
+    new = spark.createDataFrame([("rel_" + "b" * 32, "supplies", ids[2], None)], "id string, type string, target string, description string")
+    out = mutate.change_relations(graph, ids[0], new, held.select("id"))
+    assert [(r["id"], r["target"]) for r in out.relations.collect()] == [("rel_" + "b" * 32, ids[2])]
+    met = [p for p in plans if "Join" in p]
+    assert met and not any("SortMergeJoin" in p for p in met)
