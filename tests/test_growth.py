@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica.operators import aliases, invariants, levels, mutate, query
+from lattica.plans import lists, ordering
 from lattica.plans.graph import ALIASES, RELATIONS
 from lattica.plans.lineage import _DROP_SHUFFLES, cut
 from lattica.queries import changes, evidence
@@ -100,3 +101,18 @@ def test_a_small_batch_shuffles_no_relations(spark, monkeypatch):
     assert [(r["id"], r["target"]) for r in out.relations.collect()] == [("rel_" + "b" * 32, ids[2])]
     met = [p for p in plans if "Join" in p]
     assert met and not any("SortMergeJoin" in p for p in met)
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_ranks_shuffle_once_and_chunks_are_the_same_either_way(spark):
+    rows = spark.range(500).select(F.when(F.col("id") < 300, "big").otherwise(F.concat(F.lit("o"), (F.col("id") % 20).cast("string"))).alias("o"), F.concat(F.lit("i"), (F.col("id") * 7 % 400).cast("string")).alias("i"))
+    ranked = ordering.with_rank(rows.distinct(), "o", "i")
+    assert "hashpartitioning(__pid" not in ranked._jdf.queryExecution().executedPlan().toString()  # the rows, before
+    assert [r["rank"] for r in ranked.orderBy("o", "i").collect()] == list(range(rows.distinct().count()))
+    one, other = (lists.chunked(rows, "o", "i", size=30, most=most) for most in (1000, 50))
+    assert sorted(one.collect()) == sorted(other.collect())
+    assert one.where("owner = 'big'").count() == 10 and one.agg(F.sum("n")).first()[0] == rows.distinct().count()
+    assert _exchanges(one.select("owner", "items")) == 1  # a rank over the whole table and two joins before
