@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lattica.operators import aliases, invariants, levels, mutate, query
+from lattica.functions import scalars
+from lattica.operators import aliases, derive, hierarchy, invariants, levels, mutate, query, reconcile
 from lattica.plans import lists, ordering
 from lattica.plans.graph import ALIASES, RELATIONS
 from lattica.plans.lineage import _DROP_SHUFFLES, cut
@@ -116,3 +117,77 @@ def test_ranks_shuffle_once_and_chunks_are_the_same_either_way(spark):
     assert sorted(one.collect()) == sorted(other.collect())
     assert one.where("owner = 'big'").count() == 10 and one.agg(F.sum("n")).first()[0] == rows.distinct().count()
     assert _exchanges(one.select("owner", "items")) == 1  # a rank over the whole table and two joins before
+
+
+ODD = ["ent_" + "0f" * 16, "rel_" + "0f" * 16, "ent_" + "0F" * 16, "ent_" + "0f" * 16 + "\n", "ent_", "", "é", None]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+def test_packed_ids_come_back(spark):
+    ids = spark.createDataFrame([(i,) for i in ODD], "id string").select("id", scalars.packed(F.col("id")).alias("p"))
+    found = ids.select("id", "p", scalars.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r["id"] == r["back"] for r in found) and len({r["p"] and bytes(r["p"]) for r in found}) == len(ODD)
+    assert [len(r["p"]) for r in found[:2]] == [17, 17]
+
+
+def _odd_graph(spark):
+    none = empty_graph(spark)
+    entities = none.entities.unionByName(spark.createDataFrame([(ODD[0], "x"), ("x", None), ("lone", None), ("y", ODD[0])], "id string, parent string"), allowMissingColumns=True)
+    return none.with_frames(entities=entities, relations=spark.createDataFrame([("r1", "t", "x", ODD[0], None), (ODD[1], "t", "x", ODD[0], None), ("r0", "t", ODD[0], "gone", None)], RELATIONS))
+
+
+def test_dependents_of_renamed_meet_by_one_join_at_any_size(spark):
+    graph = _odd_graph(spark)
+    found = invariants.rename_dependents(graph.entities.where(F.col("id") == ODD[0]), graph.entities, graph.relations)
+    assert sorted(r["id"] for r in found.collect()) == ["x", "y"]
+    assert "BroadcastHashJoin" not in _plan(found)
+
+
+def test_retirement_looks_at_relations_by_one_join_at_any_size(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: (plans.append(_plan(df)), cut(df))[1])
+    graph = _odd_graph(spark)
+    wanted = graph.entities.select("id")
+    assert {r["id"] for r in hierarchy.retire(wanted, graph.entities, graph.relations, graph.relations.where("id = 'r1'").select("id")).collect()} == {"lone", "y"}
+    assert {r["id"] for r in hierarchy.retire(wanted, graph.entities, graph.relations, graph.relations.select("id")).collect()} == {ODD[0], "x", "lone", "y"}
+    assert "BroadcastHashJoin" not in plans[0]
+
+
+def test_ends_are_dealt_before_they_are_counted(spark):
+    found = derive.incident_counts(_odd_graph(spark).relations)
+    assert {r["id"]: r["n"] for r in found.collect()} == {"x": 2, ODD[0]: 3, "gone": 1}
+    assert "REPARTITION_BY_COL" in _plan(found) and _plan(found).count("Exchange ") == 1
+
+
+def test_pairs_are_dealt_before_they_are_grouped(spark):
+    assert "REPARTITION_BY_COL" in _plan(changes.drawn_relations(spark, "/root/testdata/sf0.001"))
+
+
+def test_adjacency_needs_no_join(spark):
+    found = _odd_graph(spark).adjacency()
+    assert {r["id"]: (r["incoming"], r["outgoing"]) for r in found.collect()} == {ODD[0]: (["r1", ODD[1]], ["r0"]), "x": ([], ["r1", ODD[1]]), "lone": ([], []), "y": ([], [])}
+    assert "Join" not in _plan(found)
+
+
+def test_absence_is_seen_where_prior_and_observed_meet(spark):
+    prior = spark.createDataFrame([("s", "a", ODD[1], False, "t", "x", "y"), ("s", "b", "r", False, "t", "x", "y"), ("p", "c", "q", False, "t", "x", "y")], "scope string, key string, relation_id string, removed boolean, p_type string, p_source string, p_target string")
+    observed = spark.createDataFrame([("s", "a", "t", "x", "y"), ("p", "d", "t", "x", "y")], "scope string, key string, type string, source string, target string")
+    live = prior.select(F.col("relation_id").alias("id"), F.lit("t").alias("type"), F.lit("x").alias("source"), F.lit("y").alias("target"))
+    coverage = spark.createDataFrame([("s", ["relationship"], "complete"), ("p", ["relationship"], "partial")], "scope string, kinds array<string>, state string")
+    found = reconcile.relationship_actions(prior, observed, coverage, live)
+    assert {(r["key"], r["action"]) for r in found.collect()} == {("a", "keep"), ("b", "remove"), ("c", "retain"), ("d", "create")}
+    assert {r["key"]: r["relation_id"] for r in found.collect()}["a"] == ODD[1]
+    assert len([line for line in _plan(found).splitlines() if "Join" in line]) == 3  # five before
+
+
+def test_levels_are_written_as_bytes(spark, monkeypatch):
+    types = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: (types.append(dict(df.dtypes)["id"]), cut(df))[1])
+    own = _odd_graph(spark).entities
+    assert {(r["id"], r["ancestor"], r["distance"]) for r in hierarchy.ancestors(own.select("id", "parent")).collect()} == {(ODD[0], "x", 1), ("y", ODD[0], 1), ("y", "x", 2)}
+    stages = hierarchy.topological_order(own.select("id"), own.where("parent is not null").select("id", F.col("parent").alias("on")))
+    assert {r["id"]: r["stage"] for r in stages.collect()} == {"x": 0, "lone": 0, ODD[0]: 1, "y": 2}
+    assert set(types[:1] + types[-1:]) == {"binary"}
