@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SCALES, scale_rank
+from ..functions.scalars import SCALES, packed, scale_rank, unpacked
 
 #: Least counts for part, domain and system by signal; below the first it is an element.
 THRESHOLDS = {"export_count": (8, 40, 160), "file_count": (8, 40, 160), "reuse_breadth": (2, 8, 24)}
@@ -143,7 +143,9 @@ def evidence_views(bindings: DataFrame, references: DataFrame, coverage: DataFra
 
 def incident_counts(relations: DataFrame) -> DataFrame:
     """(id, n): how many relation ends touch each entity; a self-loop counts twice."""
-    return relations.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ends = relations.select(F.explode(F.array(packed(F.col("source")), packed(F.col("target")))).alias("__end"))
+    # dealt before they are counted: a task then holds its own share of the entities, not all that its input names
+    return ends.repartition("__end").groupBy("__end").agg(F.count(F.lit(1)).alias("n")).select(unpacked(F.col("__end")).alias("id"), "n")
 
 
 def child_counts(entities: DataFrame) -> DataFrame:
