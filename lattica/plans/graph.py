@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_ascii, normalized
+from ..functions.scalars import is_ascii, normalized, packed, unpacked
 from .errors import GraphQueryError
 from .lineage import cut, is_empty
 from .payloads import searchable_parts
@@ -74,14 +74,14 @@ class GraphFrames:
 
     def adjacency(self) -> DataFrame:
         """Per entity its sorted incoming and outgoing relation ids; empty arrays for isolated ones."""
-        none = F.array().cast("array<string>")
-
-        def side(column: str, name: str) -> DataFrame:
-            ids = F.sort_array(F.collect_list("id")).alias(name)
-            return self.relations.groupBy(F.col(column).alias("id")).agg(ids)
-
-        both = self.entities.select("id").join(side("target", "incoming"), "id", "left").join(side("source", "outgoing"), "id", "left")
-        return both.select("id", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"))
+        none, own = F.lit(None).cast("binary"), packed(F.col("id"))
+        side = lambda c, i, o, n: F.struct(c.alias("__on"), i.alias("incoming"), o.alias("outgoing"), F.lit(n).alias("__n"))
+        ends = self.relations.select(F.explode(F.array(side(packed(F.col("target")), own, none, 0), side(packed(F.col("source")), none, own, 0))).alias("e"))
+        rows = ends.unionByName(self.entities.select(side(own, none, none, 1).alias("e"))).select("e.*")
+        ids = lambda c: F.sort_array(F.transform(F.collect_list(c), unpacked)).alias(c)
+        # entities meet their relations in the one shuffle, whose ids are bytes
+        both = rows.groupBy("__on").agg(ids("incoming"), ids("outgoing"), F.sum("__n").cast("int").alias("__n")).where("__n > 0")
+        return both.withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(unpacked(F.col("__on")).alias("id"), "incoming", "outgoing")
 
     def fingerprint_rows(self) -> DataFrame:
         """(part, n, digest) of each table: order-free sums over SHA-256 row hashes, however rows are dealt."""
