@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import minted_id
+from ..functions.scalars import minted_id, packed, unpacked
 from ..plans.graph import GraphFrames
 from ..plans.payloads import canonical_text, with_open_fields
 from .aliases import resolve_aliases
@@ -84,10 +84,10 @@ def relationship_actions(prior: DataFrame, observed: DataFrame, coverage: DataFr
     """
     fields = ("type", "source", "target")
     new = observed.select("scope", "key", *[F.col(f).alias(f"n_{f}") for f in fields]).withColumn("__new", F.lit(True))
-    old = prior.withColumn("__old", F.lit(True))
-    now = relations.select(F.col("id").alias("relation_id"), *[F.col(f).alias(f"c_{f}") for f in fields]).withColumn("__live", F.lit(True))
-    gone = absent_keys(prior.withColumn("kind", F.lit("relationship")), observed, complete_kinds(coverage)).select("scope", "key").withColumn("__gone", F.lit(True))
-    both = old.join(new, ["scope", "key"], "full_outer").join(now, "relation_id", "left").join(gone, ["scope", "key"], "left")
+    old = prior.withColumn("__old", F.lit(True)).withColumn("relation_id", packed(F.col("relation_id")))  # bytes travel
+    now = relations.select(packed(F.col("id")).alias("relation_id"), *[F.col(f).alias(f"c_{f}") for f in fields]).withColumn("__live", F.lit(True))
+    believed = complete_kinds(coverage).where("kind = 'relationship'").select("scope", F.lit(True).alias("__believed"))
+    both = old.join(new, ["scope", "key"], "full_outer").join(now, "relation_id", "left").join(believed, "scope", "left")
     mine, same = F.col("__live").isNotNull(), F.col("__live").isNotNull()
     for f in fields:
         mine = mine & F.col(f"c_{f}").eqNullSafe(F.col(f"p_{f}"))
@@ -95,10 +95,10 @@ def relationship_actions(prior: DataFrame, observed: DataFrame, coverage: DataFr
     action = (
         F.when(F.col("__old").isNull(), "create")
         .when(F.col("__new").isNotNull(), F.when(F.col("removed") | F.col("__live").isNull(), "recreate").when(same, "keep").when(mine, "update").otherwise("curated"))
-        .when(F.col("__gone") & mine & ~F.col("removed"), "remove")
+        .when(F.col("__believed") & mine & ~F.col("removed"), "remove")
         .otherwise("retain")
     )
-    own = F.coalesce("relation_id", minted_id("rel_", "relationship", F.col("scope"), F.col("key")))
+    own = F.coalesce(unpacked(F.col("relation_id")), minted_id("rel_", "relationship", F.col("scope"), F.col("key")))
     takes = action.isin("create", "recreate", "update", "keep")
     return both.select("scope", "key", own.alias("relation_id"), action.alias("action"), *[F.when(takes, F.col(f"n_{f}")).otherwise(F.col(f"c_{f}")).alias(f) for f in fields])
 
