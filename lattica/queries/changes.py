@@ -666,7 +666,9 @@ def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("drawn_relations", """, e AS (SELECT source, target, min(id) AS id FROM rel WHERE type = 'supplies' GROUP BY 1, 2), d AS (SELECT id, source, target FROM e ORDER BY id LIMIT 20)
     SELECT d.*, (SELECT count(*) FROM e) AS n, (SELECT greatest(0, count(*) - 20) FROM e) AS omitted FROM d""")
 def drawn_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = star_graph(spark, sf_dir).relations.where("type = 'supplies'").groupBy("source", "target").agg(F.min("id").alias("id"))
+    rel = star_graph(spark, sf_dir, types=("supplies",)).relations.select(*[S.packed(F.col(c)).alias(c) for c in ("source", "target", "id")])
+    # dealt before they are grouped: a task then holds its own share of the pairs; bytes of minted ids have the order of their texts
+    own = rel.repartition("source", "target").groupBy("source", "target").agg(F.min("id").alias("id")).select(*[S.unpacked(F.col(c)).alias(c) for c in rel.columns])
     drawn, total = levels.drawn_relations(own)
     return drawn.crossJoin(total).select("id", "source", "target", "n", F.col("omitted").cast("long").alias("omitted"))  # one row of totals
 
