@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import packed, unpacked
 from ..plans.errors import GraphQueryError
 from ..plans.lineage import cut, is_empty
 
@@ -74,9 +75,12 @@ def retire(candidates: DataFrame, entities: DataFrame, relations: DataFrame, rem
 
     removable: ids of relations that go anyhow. depth counts retired containers above; deepest go first.
     """
-    held = relations.join(removable.select("id"), "id", "left_anti")
-    ends = held.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    left = cut(candidates.select("id").distinct().join(ends, "id", "left_anti"))
+    own = candidates.select(F.col("id"), packed(F.col("id")).alias("__end")).distinct()
+    # only relations that touch a candidate are looked up among the removable; bytes travel, and by the same join at any size
+    ends = relations.select(F.explode(F.array(packed(F.col("source")), packed(F.col("target")))).alias("__end"), packed(F.col("id")).alias("__rel"))
+    near = ends.join(own.select("__end").hint("shuffle_hash"), "__end", "left_semi")
+    held = near.join(removable.select(packed(F.col("id")).alias("__rel")).hint("shuffle_hash"), "__rel", "left_anti").select("__end").distinct()
+    left = cut(own.join(held.hint("shuffle_hash"), "__end", "left_anti").select("id"))
     children = entities.where("parent is not null").select(F.col("id").alias("__child"), F.col("parent").alias("id"))
     while True:
         alive = children.join(left.select(F.col("id").alias("__child")), "__child", "left_anti").select("id")
