@@ -107,6 +107,9 @@ def topological_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:
 
     Nodes on or behind a cycle have stage null.
     """
+    text = dict(nodes.dtypes)["id"] == "string"
+    if text:  # bytes travel and are written
+        nodes, needs = nodes.select(packed(F.col("id")).alias("id")), needs.select(packed(F.col("id")).alias("id"), packed(F.col("on")).alias("on"))
     left = cut(nodes.select("id").distinct())
     open_ = cut(needs.join(left, "id").join(left.select(F.col("id").alias("on")), "on"))
     out, stage = None, 0
@@ -119,7 +122,8 @@ def topological_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:
         open_ = cut(open_.join(ready.select(F.col("id").alias("on")), "on", "left_anti"))
         stage += 1
     rest = left.withColumn("stage", F.lit(None).cast("int"))
-    return rest if out is None else out.unionByName(rest)
+    out = rest if out is None else out.unionByName(rest)
+    return out.withColumn("id", unpacked(F.col("id"))) if text else out
 
 
 def overview(entities: DataFrame, roots: int = 10, children: int = 10, depth: int = 4, nodes: int = 50) -> DataFrame:
