@@ -1,7 +1,8 @@
 """Language models against plain Kneser-Ney, and cases that other tests leave out."""
 
 import random
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lattica.llm import language_id, url_filter
+from lattica.llm import language_id, suffix_dedup, url_filter
 
 EDGE, DISCOUNT = "\n", 0.75
 
@@ -99,3 +100,34 @@ def test_pipeline_of_an_empty_table(spark, odd_documents):
     for name, stage in corpus_pipeline.STAGES:
         columns, docs = docs.columns, stage(spark, docs, "")
         assert docs.count() == 0 and (docs.columns == columns or name == "packing")
+
+
+def _peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_hot_anchor_takes_a_small_multiple_of_its_bytes():
+    """A flush of two megabytes took 126 bytes for each of them, and each worker of an executor holds one."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 123, 768).astype(np.uint8)
+    contexts = []
+    for k in range(2600):
+        own = base.copy()
+        own[rng.integers(0, 768, 3)] = 65 + k % 26
+        contexts.append(own.tobytes())
+    before, groups = np.full(len(contexts), 368), np.repeat([7, 3], len(contexts) // 2)
+    found = {}
+
+    def run():
+        with np.errstate(over="ignore"):
+            found["classes"], found["counts"] = suffix_dedup.repeated_starts(contexts, before, groups, 400)
+
+    assert _peak(run) < 60 * 768 * len(contexts)
+    n = 768 - 400 + 1
+    times = Counter((int(groups[t]), k, c[k : k + 400]) for t, c in enumerate(contexts) for k in range(n))
+    assert found["counts"].tolist() == [times[int(groups[t]), k, c[k : k + 400]] for t, c in enumerate(contexts) for k in range(n)]
