@@ -89,3 +89,20 @@ def test_export_rows_hold_a_hub_in_chunks(spark):
     assert [(r["id"], r["part"], r["chunk"]) for r in rows] == [(e(0), 0, 0), *[(e(0), 1, c) for c in range(4)], (e(0), 2, 0), (e(0), 2, 1), (e(1), 0, 0)]
     assert [len(r["relations"]) for r in rows if r["part"] == 1] == [20, 20, 20, 10] and sum(len(r["paths"]) for r in rows if r["part"] == 2) == 25
     assert [(r["component"]["evidence_bound"], len(r["component"]["measurements"])) for r in rows if r["part"] == 0] == [(False, 1), (True, 0)]
+
+
+def test_grams_of_odd_texts_are_dealt_as_lists(spark):
+    """One row per gram and batch is dealt, not one per gram and text; the lists are those of a plain count."""
+    texts = [None, "", "ab", "abc", "abcabc", "a b cde", "née", "x😀yz", "a b", "l1\nl2x", "tab\tbed", *[f"row {k:05d} abc" for k in range(3000)]]
+    places = list(range(len(texts) - 1)) + [70_000]
+    index = spark.createDataFrame(list(zip(places, texts)), "ordinal long, searchable string").repartition(3)
+    want = {}
+    for place, text in zip(places, texts):
+        for gram in {text[k : k + 3] for k in range(len(text) - 2)} if text else ():
+            if not set(gram) & set(" \t\n\v\f\r"):
+                want.setdefault((gram, place // lists.SPAN), []).append(place)
+    made = lists.gram_lists(index)
+    got = {(r["gram"], r["span"]): r["ordinals"] for r in made.collect()}
+    assert got == {k: sorted(v) for k, v in want.items()} and made.where("n <> size(ordinals)").count() == 0
+    assert "explode" not in made._jdf.queryExecution().toString()
+    assert made.schema == spark.createDataFrame([], "gram string, span long, n int, ordinals array<long>").schema
