@@ -16,13 +16,13 @@ from ..sources.star import entity_id, star_graph, table
 from .graph import _key, registered
 
 
-def open_star(spark: SparkSession, sf_dir: str) -> GraphFrames:
+def open_star(spark: SparkSession, sf_dir: str, held: bool = False) -> GraphFrames:
     """The star graph, its customers with a life cycle and extensions.
 
     Every customer has trade:segment and trade:terms; trade:manager is null for those divisible by three, absent for those
-    behind them, a name for the rest.
+    behind them, a name for the rest. held: as in star_graph().
     """
-    graph = star_graph(spark, sf_dir)
+    graph = star_graph(spark, sf_dir, held=held)
     k = F.col("c_custkey")
     manager = F.when(k % 3 == 0, '"trade:manager":null,').when(k % 3 == 1, "").otherwise(F.concat(F.lit('"trade:manager":"Manager '), k.cast("string"), F.lit('",')))
     text = F.concat(
@@ -51,7 +51,7 @@ def extension_null_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extension_typed_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria on a fixed field and an extension together, over a stored generation whose scan reads single keys; null matches no text."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    stores.write_generation(open_star(spark, sf_dir), root)
+    stores.write_generation(open_star(spark, sf_dir, held=True), root)
     found = query.entities_where(stores.read_generation(spark, root), "component", {"trade:segment": "BUILDING", "type": "customer"})
     named = found.where(F.startswith(F.try_variant_get("extensions", '$["trade:manager"]', "string"), F.lit("Manager")))
     return named.select("id", F.try_variant_get("extensions", '$["trade:terms"].days', "long").alias("days"))

@@ -10,7 +10,8 @@ from lattica.operators import invariants, mutate, query, reconcile
 from lattica.plans import payloads
 from lattica.plans.errors import GraphQueryError
 from lattica.plans.graph import ALIASES, ENTITIES, RELATIONS, GraphFrames
-from lattica.sources import stores
+from lattica.queries import payload
+from lattica.sources import star, stores
 
 
 def graph_of(spark, extensions):
@@ -104,3 +105,11 @@ def test_payloads_are_stored_searched_and_compared(spark, tmp_path):
 def test_extension_keys_need_a_namespace(spark):
     graph, ids = graph_of(spark, ['{"plain":1}', '{"a:x":{"plain":1}}', "{}", None, '{"a:x":1,"B:y":1}'])
     assert {(ids.index(r["id"]), r["problem"]) for r in invariants.field_problems(graph.entities).collect()} == {(0, "invalid-extension-key"), (4, "invalid-extension-key")}
+
+
+def test_a_stored_star_finds_its_pairs_once(spark, monkeypatch):
+    """The lines' pairs of keys were found again for entities, relations and incoming relations."""
+    plain, found = star._pairs, []
+    monkeypatch.setattr(star, "_pairs", lambda spark, sf_dir, *keys: found.append(keys) or plain(spark, sf_dir, *keys))
+    assert payload.extension_typed_criteria(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(found) == sorted(star.PAIRS.values())
