@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,8 +66,12 @@ class Model:
     floor: float
     limit: np.ndarray
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log2 probabilities of each word under each language, and how many symbols it has."""
+    def word_scores(self, words: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log2 probabilities of each word under each language, and how many symbols it has; some words at a time."""
+        parts = [self._some_scores(words[k : k + at_once]) for k in range(0, max(1, len(words)), at_once)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _some_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.langs)
         flat, word, letters = _flat(words)
         inner = np.arange(len(flat))
@@ -225,17 +230,18 @@ def _predict_batch(batch: pa.RecordBatch, model: Model | None) -> pa.RecordBatch
     pred = np.full(size, "und", object)
     score, entropy = np.zeros(size), np.full(size, np.nan)
     rejected = np.ones(size, bool)
-    words, doc = [], []
+    # numbers of words in order of their first place; of the words themselves only different ones are held
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    code, times = [], np.zeros(size, np.int64)
     if model:
-        for row, text in enumerate(batch.column(1).to_pylist()):
-            if text:
-                own = text.lower().split()
-                words += own
-                doc.append(np.full(len(own), row))
-    if words:
-        doc = np.concatenate(doc)
-        code, unique = pd.factorize(np.array(words, object))
-        per_word, symbols = model.word_scores(list(unique))
+        for row, text in enumerate(batch.column(1)):
+            own = (text.as_py() or "").lower().split()
+            times[row] = len(own)
+            code.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+    if number:
+        code, doc = np.concatenate(code), np.repeat(np.arange(size, dtype=np.int32), times)
+        per_word, symbols = model.word_scores(list(number))
         length = np.bincount(doc, symbols[code], size)
         total = np.stack([np.bincount(doc, per_word[code, k], size) for k in range(len(model.langs))], 1)
         ok = length > 0

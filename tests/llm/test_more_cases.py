@@ -1,5 +1,6 @@
 """Language models against plain Kneser-Ney, and cases that other tests leave out."""
 
+import itertools
 import random
 import tracemalloc
 from collections import Counter, defaultdict
@@ -131,3 +132,19 @@ def test_a_hot_anchor_takes_a_small_multiple_of_its_bytes():
     n = 768 - 400 + 1
     times = Counter((int(groups[t]), k, c[k : k + 400]) for t, c in enumerate(contexts) for k in range(n))
     assert found["counts"].tolist() == [times[int(groups[t]), k, c[k : k + 400]] for t, c in enumerate(contexts) for k in range(n)]
+
+
+def test_language_id_holds_different_words_only():
+    words = ["".join(w) for w in itertools.product("abcdefghij", repeat=4)]
+    rng = np.random.default_rng(2)
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 400)) for _ in range(2000)]
+    flat, word, letters = language_id._flat(words)
+    grams = language_id._grams(flat)
+    keys = [np.unique(g) for g in grams]
+    share = [np.full((len(k), 2), 0.1, np.float32) for k in keys]
+    rest = [np.full(2, 0.5, np.float32), *[np.full((len(k), 2), 0.5, np.float32) for k in keys[:-1]]]
+    model = language_id.Model(["a", "b"], keys, share, rest, 0.01, np.full(2, np.inf))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert _peak(lambda: language_id._predict_batch(batch, model)) < 40_000_000
+    whole, few = model.word_scores(words, 10**9), model.word_scores(words, 1000)
+    assert all((a == b).all() for a, b in zip(whole, few))
