@@ -498,6 +498,30 @@ def test_passages_of_equal_rows_and_lines(spark):
         assert rows[5 * p + 1]["n_removed"] == 0 and 60 <= rows[5 * p + 4]["n_removed"] <= 75
 
 
+def test_passages_behind_a_common_opening(spark, monkeypatch):
+    """Many texts share an opening too short for a passage; what is held against each other grows with them, not with their
+    square, and those that go on alike for a passage are found, though they lie in different blocks."""
+    rng = random.Random(43)
+    opening = prose(rng, 24)
+    texts = {d: " ".join(opening + prose(rng, 80)) for d in range(150)}
+    for d in range(0, 20, 2):
+        p = prose(rng, 40)
+        q = [w if n % 10 != 5 else "changed" for n, w in enumerate(p)]
+        texts[d + 50], texts[d + 101] = (" ".join(opening + v + prose(rng, 40)) for v in (p, q))
+    asked, test_pairs = [], passage_dedup._test_pairs
+
+    def counted(rows, pairs, rules):
+        asked.append(pairs.count())
+        return test_pairs(rows, pairs, rules)
+
+    monkeypatch.setattr(passage_dedup, "_test_pairs", counted)
+    want = set(range(101, 121, 2))
+    rows = by_id(passage_dedup.repeated_passages(table(spark, texts), passage_dedup.Rules(block=32)))
+    assert {d for d, r in rows.items() if r["n_removed"] >= 50} == want and sum(r["n_removed"] > 0 for r in rows.values()) == len(want)
+    assert {d for d, r in rows.items() if r["n_repeated"] >= 50} == want | {d - 51 for d in want}
+    assert asked[1] <= 20 * len(texts)
+
+
 def test_packing_round_trip(spark, odd_documents):
     from tokenizers import Tokenizer
 
