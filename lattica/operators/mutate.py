@@ -152,11 +152,13 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
         rest = old.join(changes.select("id"), "id", "left_anti")
         return rest.select(*old.columns).unionByName(changes.where("op <> 'remove'").select(*old.columns))
 
-    out = _next(
-        graph, entities=merged(graph.entities, components, "entity"), relations=merged(graph.relations, relations, "relation"),
-        aliases=graph.aliases.unionByName(aliases.select("source", "target")),
-    )
-    out = out.resolved()
+    # frames that the batch leaves alone stay what they are, so that a store need not write them again
+    frames = {} if is_empty(components) else {"entities": merged(graph.entities, components, "entity")}
+    if not is_empty(relations):
+        frames["relations"] = merged(graph.relations, relations, "relation")
+    if not is_empty(aliases):
+        frames["aliases"] = graph.aliases.unionByName(aliases.select("source", "target"))
+    out = _next(graph, **frames).resolved()
     live = "op <> 'remove'"
     moved = aliases.select(F.col("source").alias("id"))  # members and relations of these now hang on the targets
     rehung = graph.entities.join(moved.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id")
@@ -207,8 +209,9 @@ def component_revisions(graph: GraphFrames, ids: DataFrame) -> DataFrame:
 
     Revisions are a function of content, so they are taken where they are compared, of the rows that a batch names alone.
     """
-    own = graph.entities.join(ids.select("id").distinct(), "id", "left_semi")
-    out = graph.relations.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    ids = cut(ids.select("id").distinct())  # Spark knows their size then, so few ids shuffle no relations
+    own = graph.entities.join(ids, "id", "left_semi")
+    out = graph.relations.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
 
     def digest(df: DataFrame) -> Column:
         cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
@@ -229,6 +232,7 @@ def commit_batch(spark, root: str, components: DataFrame, relations: DataFrame,
     """
     from ..sources import stores
 
+    expected = cut(expected)
     for _ in range(attempts):
         graph = stores.read_generation(spark, root)
         actual = component_revisions(graph, expected.select(F.col("resource").alias("id")))
