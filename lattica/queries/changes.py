@@ -550,15 +550,17 @@ def followed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import projection
 
     root, shown, check = _scratch(spark, "store"), _scratch(spark, "projection"), _scratch(spark, "stream")
-    graph = star_graph(spark, sf_dir, held=True)
-    stores.write_generation(graph, root)
+    stores.write_generation(star_graph(spark, sf_dir, held=True), root)
+    graph = stores.read_generation(spark, root)
     projection.run_projection(spark, root, shown, check)
     for n, said in ((2, "Realm of "), (3, "Land of ")):
         name = F.when(F.col("type") == "nation", F.concat(F.lit(said), "name")).otherwise(F.col("name"))
         stores.write_generation(graph.with_frames(entities=graph.entities.withColumn("name", name), generation=n), root)
     projection.run_projection(spark, root, shown, check)
     now = projection.read_projection(spark, shown)
-    ends = now.adjacency.select(F.split("owner", ":")[0].alias("id"), F.explode("items").alias("r")).groupBy("id").agg(F.countDistinct("r").alias("relations"))
+    # a relation of an entity with itself stands in both of its lists
+    twice = graph.relations.where("source = target").select(F.col("source").alias("id"), F.lit(-1).alias("n"))
+    ends = now.adjacency.select(F.split("owner", ":")[0].alias("id"), F.size("items").alias("n")).unionByName(twice).groupBy("id").agg(F.sum("n").alias("relations"))
     out = now.catalog.join(ends, "id", "left").na.fill(0, ["relations"])
     return out.select("id", "searchable", F.lit(now.generation).cast("long").alias("generation"), "relations")
 

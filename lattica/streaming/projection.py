@@ -41,9 +41,14 @@ def rebuild(spark: SparkSession, root: str, projection: str, generation: int | N
         return -1 if shown is None else shown
     graph = stores.read_generation(spark, root, n)
     stores.settle(spark, projection)
-    attempt = stores.Attempt(spark, projection, n).begin(["catalog", "adjacency", "identity"])
+    # lists of relations that are the very table behind what is shown are not made again
+    same = shown is not None and shown in stores.generations(spark, root) and stores.table_folder(spark, root, "relations", shown) == graph.stored["relations"]
+    held = stores.table_folder(spark, projection, "adjacency", shown) if same else None
+    shared = {} if held is None else {"adjacency": held.removeprefix(f"{projection}/generations/")}
+    attempt = stores.Attempt(spark, projection, n).begin(["catalog", "adjacency", "identity"], shared)
     attempt.write("catalog", graph.catalog(), "id")
-    attempt.write("adjacency", adjacency_lists(graph), "owner")
+    if not shared:
+        attempt.write("adjacency", adjacency_lists(graph), "owner")
     attempt.write("identity", graph.identity(), "generation")
     try:
         attempt.publish()
