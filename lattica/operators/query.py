@@ -199,12 +199,25 @@ def static_detail(graph: GraphFrames, id_: str) -> DataFrame:
 def export_blueprint(graph: GraphFrames, bindings: DataFrame | None = None, page_of: DataFrame | None = None) -> DataFrame:
     """Components (all, or those of a page) with all their outgoing relations as an array sorted by id."""
     own = (page_of if page_of is not None else list_components(graph)).select("id", "name", "scale", "parent")
+    if page_of is None:
+        full = _with_outgoing(graph, own)
+        return full if bindings is None else with_evidence(graph, full, bindings)
     out = graph.relations.join(own.select(F.col("id").alias("source")), "source", "left_semi")
     out = out.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("relation"), "type", "target"))).alias("relations"))
     full = own.join(out, "id", "left").withColumn("relations", F.coalesce("relations", F.array().cast(out.schema["relations"].dataType)))
     return full if bindings is None else with_evidence(graph, full, bindings)
 
 
+def _with_outgoing(graph: GraphFrames, own: DataFrame) -> DataFrame:
+    """Components with their outgoing relations; both meet in one shuffle, in which ids are bytes."""
+    held = F.struct(S.packed(F.col("id")).alias("relation"), "type", S.packed(F.col("target")).alias("target"))
+    rows = graph.relations.select(S.packed(F.col("source")).alias("__on"), held.alias("item"))
+    fields = own.select(S.packed(F.col("id")).alias("__on"), F.struct("name", "scale", "parent").alias("own"))
+    both = rows.unionByName(fields, allowMissingColumns=True).groupBy("__on").agg(F.collect_list("own").alias("own"), F.collect_list("item").alias("items"))
+    said = F.transform("items", lambda r: F.struct(S.unpacked(r["relation"]).alias("relation"), r["type"].alias("type"), S.unpacked(r["target"]).alias("target")))
+    return both.withColumn("own", F.explode("own")).select(S.unpacked(F.col("__on")).alias("id"), "own.*", F.sort_array(said).alias("relations"))
+
+
 def with_observations(components: DataFrame, measurements: DataFrame, paths: DataFrame, each: int = 32) -> DataFrame:
     """Components (id) with `measurements` and `paths`, sorted, and `paths_left`, how many of the paths are not listed.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aliases, derive, hierarchy, invariants, levels, mutate, observe, query, reconcile, traverse
-from ..plans import paging
+from ..plans import lists, paging
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, RELATIONS, GraphFrames, load_graph
 from ..plans.lineage import ensure_checkpoint_dir
@@ -144,15 +144,11 @@ def static_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.static_detail(star_graph(spark, sf_dir), _key(spark, "order", 7)).select("id", "type", "source", "target")
 
 
-@registered("export_all_pages", """ SELECT ent.id, ent.name, count(rel.id) AS n FROM ent LEFT JOIN rel ON rel.source = ent.id WHERE ent.type IN ('region', 'nation', 'supplier')
-    AND (ent.type <> 'supplier' OR ends_with(ent.name, '1')) GROUP BY 1, 2""")
+@registered("export_all_pages", """ SELECT ent.id, ent.name, count(rel.id) AS n FROM ent LEFT JOIN rel ON rel.source = ent.id GROUP BY 1, 2""")
 def export_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of an export of one generation, by cursors."""
-    graph = star_graph(spark, sf_dir, held=True)
-    graph = graph.with_frames(entities=graph.entities.where("type in ('region', 'nation') or type = 'supplier' and endswith(name, '1')"))
-    bound = graph.entities.select(F.col("id").alias("component_id"), F.lit(True).alias("present"))
-    items = [(r["id"], r["name"], len(r["relations"])) for page in query.export_pages(graph, bound, limit=100) for r in page.items]
-    return spark.createDataFrame(items, "id string, name string, n long")
+    """Every row of the whole export on its page of 100, all pages by one ordered scan, so that none goes through the driver."""
+    rows = query.export_blueprint(star_graph(spark, sf_dir, held=True)).select("id", "name", F.size("relations").cast("long").alias("n"))
+    return lists.all_pages(rows, "id", 100).select("id", "name", "n")
 
 
 @registered("search_beyond_ascii", "SELECT 'ent_' || md5('customer:' || c_custkey) AS id FROM customer WHERE contains(c_name, '0042') UNION ALL SELECT 'ent_' || md5('supplier:' || s_suppkey) FROM supplier WHERE contains(s_name, '0042')", graph=False)
