@@ -29,3 +29,14 @@ def test_an_export_of_all_is_that_of_its_pages(spark):
     assert whole.columns == paged.columns and sorted(whole.collect(), key=lambda r: r["id"]) == sorted(paged.collect(), key=lambda r: r["id"])
     assert whole.where(F.size("relations") == 0).count() == 1
     assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_an_export_meet_their_components_without_a_join(spark):
+    graph = star_graph(spark, TABLES)
+    nothing = spark.createDataFrame([], "component string, project string, scanner string, instance string, version string, value int")
+    paths = spark.createDataFrame([], "component string, project string, scanner string, resource string")
+    rows = query.export_rows(graph, spark.createDataFrame([], "component_id string, present boolean"), nothing, paths, size=50)
+    assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    whole = query.export_blueprint(graph).where(F.size("relations") > 0).select("id", F.size("relations").alias("n"))
+    chunks = rows.where("part = 1").groupBy("id").agg(F.sum(F.size("relations")).alias("n"))
+    assert sorted(chunks.collect()) == sorted(whole.collect())
