@@ -160,24 +160,27 @@ def delta_diagnostics(graph: GraphFrames, entities: DataFrame, relations: DataFr
     named = lambda df, col, problem: df.select(F.col(col).alias("id"), F.lit(problem).alias("problem"))
     touched, gone = cut(entities.select("id").distinct()), cut(gone.select("id").distinct())
     own = cut(graph.entities.join(touched, "id", "left_semi"))
-    edges = cut(graph.relations.join(cut(relations.select("id").distinct()), "id", "left_semi"))
+    # ids of relations and of their ends travel as bytes
+    as_bytes = lambda df: df.select(packed(F.col("id")).alias("id"), "type", packed(F.col("source")).alias("source"), packed(F.col("target")).alias("target"))
+    edges = cut(as_bytes(graph.relations).join(cut(relations.select(packed(F.col("id")).alias("id")).distinct()), "id", "left_semi"))
     loose = graph.relations.join(gone.select(F.col("id").alias("source")), "source", "left_semi").unionByName(
         (graph.incoming if graph.incoming is not None else graph.relations).join(gone.select(F.col("id").alias("target")), "target", "left_semi").select(*graph.relations.columns)
     )
-    near = cut(edges.unionByName(loose).dropDuplicates(["id", "source", "target"]))
+    near = edges.unionByName(cut(as_bytes(loose)))
     ends = near.select(F.col("id").alias("relation"), F.explode(F.array("source", "target")).alias("id"))
-    there = graph.entities.select("id").join(cut(ends.select("id").distinct()), "id", "left_semi")
-    lost = ends.join(cut(there), "id", "left_anti").select(F.col("relation").alias("id")).distinct()
+    there = graph.entities.select(packed(F.col("id")).alias("id")).join(cut(ends.select("id").distinct()), "id", "left_semi")
+    lost = ends.join(cut(there), "id", "left_anti").select("relation").distinct().select(unpacked(F.col("relation")).alias("id"))
+    said = lambda df: df.withColumn("id", unpacked(F.col("id")))
     members = graph.entities.where("parent is not null").join(touched.unionByName(gone).select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
     below = cut(own.where("parent is not null").select("id", "parent", "scale").unionByName(members.select("id", "parent", "scale")).distinct())
     above = cut(graph.entities.select(F.col("id").alias("parent"), F.col("scale").alias("parent_scale")).join(cut(below.select("parent").distinct()), "parent", "left_semi"))
     orphans = below.join(above, "parent", "left_anti")
     coarse = below.where("scale is not null").join(above, "parent").where(scale_rank(F.col("scale")) < scale_rank(F.col("parent_scale")))
-    out = named(duplicate_ids(own), "id", "duplicate-entity").unionByName(named(duplicate_ids(edges), "id", "duplicate-relation"))
+    out = named(duplicate_ids(own), "id", "duplicate-entity").unionByName(named(said(duplicate_ids(edges)), "id", "duplicate-relation"))
     for more in (
         named(lost, "id", "unknown-endpoint"), named(own.where("id = parent"), "id", "self-containment"), named(orphans, "id", "unknown-parent"),
         named(changed_cycles(graph.entities.where("id <> parent or parent is null"), touched), "id", "containment-cycle"),
-        field_problems(own), relation_problems(edges), named(coarse, "id", "scale-coarser-than-parent"),
+        field_problems(own), relation_problems(said(edges)), named(coarse, "id", "scale-coarser-than-parent"),
     ):
         out = out.unionByName(more)
     return out

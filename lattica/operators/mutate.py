@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.errors import GraphQueryError
 from ..plans.graph import ALIASES, ENTITIES, GraphFrames
-from ..plans.lineage import cut, is_empty
+from ..plans.lineage import cut, is_empty, scratch_dropped
 from ..plans.payloads import OPEN_FIELDS, is_extension, patched, with_open_fields
 from .invariants import delta_diagnostics, has_duplicate_ids, parent_problems, refuse_problems, removal_blockers, stale_revisions
 from .query import resolve_id
@@ -166,7 +166,8 @@ def apply_batch(graph: GraphFrames, components: DataFrame, relations: DataFrame,
         graph.relations.join(moved.withColumnRenamed("id", "target"), "target", "left_semi").select("id")
     )
     changed, gone = components.where(live).select("id").unionByName(rehung), components.where(~F.expr(live)).select("id")
-    refuse_problems(delta_diagnostics(out, changed, relations.where(live).select("id").unionByName(rebound), gone))
+    with scratch_dropped(graph.entities.sparkSession):
+        refuse_problems(delta_diagnostics(out, changed, relations.where(live).select("id").unionByName(rebound), gone))
     return out
 
 

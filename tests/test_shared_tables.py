@@ -1,10 +1,13 @@
 """Tables that later generations and projections name instead of writing them again, and lists whose ids travel as bytes."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import mutate
-from lattica.plans import lists
+from lattica.operators import invariants, mutate
+from lattica.plans import lineage, lists
+from lattica.plans.errors import GraphQueryError
 from lattica.plans.graph import ALIASES, RELATIONS
 from lattica.queries import changes, merge
 from lattica.sources import stores
@@ -86,3 +89,27 @@ def test_only_named_owners_have_lists(spark):
     owners = spark.createDataFrame([("a",), ("c",)], "owner string")
     for most in (1, 100):
         assert [(r["owner"], r["items"]) for r in lists.chunked(rows, "o", "i", most=most, owners=owners).collect()] == [("a", [1, 2])]
+
+
+def test_what_checks_write_down_goes_again(spark, monkeypatch):
+    made, plans, cut = [], [], invariants.cut
+    monkeypatch.setattr(invariants, "cut", lambda df: (lambda out: (made.append(out), plans.append(df.dtypes), out)[2])(cut(df)))
+    graph = _graph(spark)
+    new = spark.createDataFrame([(f"rel_{n:032x}", "uses", f"ent_{n % 2:032x}", f"ent_{0:032x}", None) for n in range(20, 40)], RELATIONS).withColumn("op", F.lit("create"))
+    none = graph.entities.where("false").withColumn("op", F.lit("update"))
+    out = mutate.apply_batch(graph, none, new, graph.aliases)
+    assert out.relations.count() == 29 and out.entities is graph.entities
+    assert len(made) > 5 and not any(Path(df.scratch_path.removeprefix("file:")).exists() for df in made)
+    assert [("id", "binary"), ("type", "string"), ("source", "binary"), ("target", "binary")] in plans  # texts before
+    bad = new.where(f"id = 'rel_{20:032x}'").withColumns({"id": F.lit(f"rel_{99:032x}"), "target": F.lit("nowhere")})
+    with pytest.raises(GraphQueryError, match="invariant-violation"):
+        mutate.apply_batch(graph, none, bad, graph.aliases)
+
+
+def test_tables_that_are_kept_outlive_their_scope(spark):
+    with lineage.scratch_dropped(spark) as outer:
+        with lineage.scratch_dropped(spark) as inner:
+            one, two, three = (lineage.cut(spark.range(n)) for n in (1, 2, 3))
+            inner += [one, two]
+        outer.append(one)
+    assert one.count() == 1 and [Path(df.scratch_path.removeprefix("file:")).exists() for df in (one, two, three)] == [True, False, False]
